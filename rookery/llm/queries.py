@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .fingerprint import compare_with_edited
 from .line_dedup import drop_frequent_lines
 from .url_filter import host_of, judge_urls
+from .warc import round_trip
 
 RULES = [
     ("allow", "com", "/"),
@@ -28,6 +30,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compare_with_edited(table(spark, sf_dir, "documents"))
+    return out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is that of the document its path names: bad if of low quality or toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -39,6 +50,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op6_fingerprint": op6_fingerprint,
+    "op8_warc": op8_warc,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -12,7 +12,7 @@ join that AQE splits when skewed, or a broadcast when Spark has measured it as s
 parameter list of at most MAX_RULES, evaluated as one expression; no shuffle.
 
 Defined results: a null url or one without `://` has empty host and path, fits no rule and is judged
-by the overall rate; outcomes with a null label or page are left out; with no outcomes nothing is
+by the overall rate; outcomes with a null label or host are left out; with no outcomes nothing is
 blocked; pages that repeat are judged alike. `rule` is null where none fits.
 """
 
@@ -65,9 +65,12 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, n, bad, rate, low: posterior of each host's bad rate, from outcomes (host, bad boolean)."""
-    known = outcomes.where("host IS NOT NULL AND bad IS NOT NULL")
-    hosts = known.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    """host, n, bad, rate, low: posterior of each host's bad rate, from outcomes (host, bad boolean).
+
+    A row with a null `bad` only names a host; a host with no outcomes has its domain's rate.
+    """
+    bad = F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))
+    hosts = outcomes.where("host IS NOT NULL").groupBy("host").agg(F.count("bad").alias("n"), bad.alias("bad"))
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     p = (whole["bad"] or 0) / (whole["n"] or 1)
@@ -80,7 +83,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
             out, level_counts = out.join(sums, level), (f"n_{level}", f"bad_{level}")
         n, bad = (F.col(c) for c in level_counts)
         units = out.select(level, n.alias("n"), bad.alias("bad"), parent.alias("p")).distinct()
-        fit = units.agg(
+        fit = units.where("n > 0").agg(
             F.sum("n").alias("n"),
             F.count(F.lit(1)).alias("k"),
             F.sum(F.pow(F.col("bad") / F.col("n") - F.col("p"), 2) * F.col("n")).alias("spread"),
@@ -111,10 +114,11 @@ def _strength(fit, least: float = 1.0, most: float = 1000.0) -> float:
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], limit: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, host_rate, host_low for every row of `pages` (page_id, url).
 
-    `outcomes`: (host, bad). A host without outcomes of its own is allowed: its bound says nothing yet.
+    `outcomes`: (host, bad). A host without outcomes of its own is judged by its domain, and so on up.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = host_reputation(outcomes).select("host", F.col("rate").alias("host_rate"), F.col("low").alias("host_low"))
+    named = outcomes.select("host", "bad").unionByName(parts.select("host", F.lit(None).cast("boolean").alias("bad")))
+    known = host_reputation(named).select("host", F.col("rate").alias("host_rate"), F.col("low").alias("host_low"))
     fitted = parts.withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
     judged = fitted.join(known, "host", "left")
     by_host = F.when(F.col("host_low") > limit, "block").otherwise("allow")
