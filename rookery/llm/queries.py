@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprint import compare_with_edited
 from .line_dedup import drop_frequent_lines
+from .simhash import near_duplicates
 from .url_filter import host_of, judge_urls
 from .warc import round_trip
 
@@ -39,6 +40,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is that of the document its path names: bad if of low quality or toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -52,6 +58,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_fingerprint": op6_fingerprint,
     "op8_warc": op8_warc,
+    "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
 }
 
