@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprint import compare_with_edited
 from .line_dedup import drop_frequent_lines
+from .packing import pack
 from .simhash import near_duplicates
 from .url_filter import host_of, judge_urls
 from .warc import round_trip
@@ -26,6 +27,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_frequent_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -55,6 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
     "op6_fingerprint": op6_fingerprint,
     "op8_warc": op8_warc,
