@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_and_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprint import compare_with_edited
@@ -42,6 +43,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compare_with_edited(table(spark, sf_dir, "documents"))
     return out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
@@ -68,6 +79,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_bpe": op5_bpe,
     "op6_fingerprint": op6_fingerprint,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
