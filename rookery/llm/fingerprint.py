@@ -4,7 +4,7 @@ A document's sketch is every distinct 64-bit hash of its five-word shingles that
 fraction of the hash range, and the smallest hash besides, so that no text with words has an empty
 sketch. The threshold doesn't depend on the document: the sketch of a union is the union of sketches
 (drop the smallest-hash extras), and the share of one sketch found in another estimates containment
-even between a page and a book. `likeness` is that containment, of the smaller sketch in the larger.
+even between a page and a book; the share that both have estimates their resemblance.
 
 Scale: sketches are a projection; nothing is shuffled. Pairing each document with the next one by
 doc_id deals documents into blocks of `BLOCK` consecutive ids (no more rows than that for unique
@@ -56,7 +56,13 @@ def fingerprint_text(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch that the larger holds."""
+    """Estimated resemblance of the shingle sets: shared share of both sketches."""
+    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
+    return F.when(both_empty, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of the smaller shingle set that the larger holds."""
     least = F.least(F.size(a), F.size(b))
     both_empty = (F.size(a) == 0) & (F.size(b) == 0)
     return F.when(both_empty, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
@@ -66,9 +72,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, hashes, next_text, next_hashes: each document with the next by doc_id, the last with the first."""
     rank = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_sketch(rows.withColumns({"rank": rank, "block": F.floor(rank / BLOCK)}), "text", "hashes")
-    firsts = materialise(rows.groupBy("block").agg(F.min("rank").alias("rank")), "fingerprint-blocks")
-    heads = rows.join(firsts, ["block", "rank"]).groupBy("block").agg(F.min_by(F.struct("text", "hashes"), "text").alias("head"))
+    plain = rows.withColumns({"rank": rank, "block": F.floor(rank / BLOCK)})
+    rows = with_sketch(plain, "text", "hashes")
+    firsts = materialise(plain.groupBy("block").agg(F.min("rank").alias("rank")), "fingerprint-blocks")
+    heads = plain.join(firsts, ["block", "rank"]).groupBy("block").agg(F.min("text").alias("text"))
+    heads = with_sketch(heads, "text", "hashes").select("block", F.struct("text", "hashes").alias("head"))
     heads = heads.join(_block_before(firsts.select("block")), "block").select(F.col("before").alias("block"), "head")
     order = Window.partitionBy("block").orderBy("rank", "text")
     led = rows.withColumn("after", F.lead(F.struct("text", "hashes")).over(order)).join(heads, "block", "left")
@@ -80,12 +88,11 @@ def _block_before(blocks: DataFrame, group: int = 4096) -> DataFrame:
     """block, before: the block in front of each, the last one's for the first; windows over groups, then over groups of groups."""
     grouped = blocks.withColumn("g", F.floor(F.col("block") / group))
     ends = grouped.groupBy("g").agg(F.max("block").alias("end"))
-    last = ends.agg(F.max("end").alias("last"))
+    last = ends.agg(F.max("end")).first()[0]
     ends = ends.select("g", F.lag("end").over(Window.partitionBy(F.lit(0)).orderBy("g")).alias("end_before"))
     within = grouped.withColumn("inside", F.lag("block").over(Window.partitionBy("g").orderBy("block")))
     found = within.join(ends, "g").select("block", F.coalesce("inside", "end_before").alias("before"))
-    wrap = found.where("before IS NULL").select("block").join(last).select("block", F.col("last").alias("before"))
-    return found.where("before IS NOT NULL").unionByName(wrap)
+    return found.withColumn("before", F.coalesce("before", F.lit(last).cast("long")))
 
 
 def compare_with_edited(docs: DataFrame) -> DataFrame:
@@ -105,4 +112,6 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
         fingerprint_text(F.col("edited_hashes")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
         likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        containment(F.col("hashes"), F.col("edited_hashes")).alias("within_edited"),
+        containment(F.col("hashes"), F.col("next_hashes")).alias("within_next"),
     )
