@@ -9,6 +9,8 @@ from .bpe import encode_and_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprint import compare_with_edited
+from .hmm import score
+from .language_id import fit, fold_of, identify
 from .line_dedup import drop_frequent_lines
 from .packing import pack
 from .simhash import near_duplicates
@@ -38,6 +40,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 5) == 1)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_frequent_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -58,6 +64,13 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    out = identify(docs, fit(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
 
@@ -78,9 +91,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
+    "op3_hmm_score": op3_hmm_score,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_fingerprint": op6_fingerprint,
+    "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
