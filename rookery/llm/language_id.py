@@ -184,6 +184,21 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Automata:
     return Automata({lang: " ".join(p for _, p in sorted(some)) for lang, some in parts.items()})
 
 
+def keep_identified(docs: DataFrame, model: Automata) -> DataFrame:
+    """The rows of `docs`, whole, whose text is of some language: all but those that `identify` calls `und`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
+                lang, _ = own.predict(some.column("text").to_pylist())
+                yield some.filter(pa.array([x != UNKNOWN for x in lang]))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def identify(docs: DataFrame, model: Automata) -> DataFrame:
     """doc_id, lang_pred, score for every row of `docs` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
