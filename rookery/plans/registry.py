@@ -2,5 +2,41 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .views import Domain, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
+    """Register a function of a Domain under `name`, with its twin. Whole numbers leave as longs, `dates` as text."""
+
+    def put(function: Callable[[Domain], DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = function(Domain(spark, sf_dir))
+            kinds = {"int": "bigint", "smallint": "bigint", "date": "string"}
+            return out.withColumns({c: out[c].cast(kinds[k]) for c, k in out.dtypes if k in kinds})
+
+        QUERIES[name] = run
+        if sql:
+            text = oracle(sql)
+            if dates:
+                text = "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates) + f") FROM ({text}) AS q"
+            ORACLES[name] = text
+        return function
+
+    return put
+
+
+def load() -> None:
+    from . import queries_analytics  # noqa: F401
+
+
+load()
