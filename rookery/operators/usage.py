@@ -163,7 +163,7 @@ def member_usage(users: DataFrame, chat: DataFrame) -> DataFrame:
     )
     usd = F.col("i") / 1000 * RATES[0][1] + F.col("o") / 1000 * RATES[0][2]
     mean = F.when(F.col("conversations") > 0, F.col("tokens") / F.col("conversations")).otherwise(0.0)
-    return sums.select("company_id", "id", "conversations", "tokens", F.round(usd, 6).alias("usd"), F.round(usd * YEN_PER_USD, 4).alias("yen"), F.round(mean, 6).alias("mean_tokens"))
+    return sums.select("company_id", "id", "conversations", "tokens", F.round(usd, 6).alias("usd"), F.round(usd * YEN_PER_USD, 6).alias("yen"), F.round(mean, 6).alias("mean_tokens"))
 
 
 def what_if_prices(usage: DataFrame) -> DataFrame:
