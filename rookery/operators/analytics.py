@@ -20,7 +20,12 @@ CATEGORY_LABELS = {
     "meeting": "Meetings",
     "other": "Other",
 }
-WHOLE = Window.partitionBy(F.lit(0))
+
+
+
+def whole():
+    """One window over all rows; only for rows that are already aggregated."""
+    return Window.partitionBy(F.lit(0))
 
 
 def count_if(condition: Column) -> Column:
@@ -136,16 +141,16 @@ def category_distribution(chat: DataFrame) -> DataFrame:
         count_if(F.col("sentiment") == "negative").alias("negative"),
     )
     mean = (3 * F.col("positive") + 2 * F.col("neutral") + F.col("negative")) / F.col("n")
-    share = F.col("n") * 100.0 / F.sum("n").over(WHOLE)
-    bias = share - 100.0 / F.count(F.lit(1)).over(WHOLE)
+    share = F.col("n") * 100.0 / F.sum("n").over(whole())
+    bias = share - 100.0 / F.count(F.lit(1)).over(whole())
     out = grouped.withColumns({"score": F.round(mean, 6), "share": F.round(share, 6), "bias": F.round(bias, 6)})
     return out.withColumns(
         {
             "over": F.col("bias") > 10,
             "under": F.col("bias") < -10,
             "mood": F.when(F.col("score") > 2.3, "positive").when(F.col("score") < 1.7, "negative").otherwise("balanced"),
-            "top_rank": F.row_number().over(WHOLE.orderBy(F.desc("n"), "category")),
-            "bottom_rank": F.row_number().over(WHOLE.orderBy("n", "category")),
+            "top_rank": F.row_number().over(whole().orderBy(F.desc("n"), "category")),
+            "bottom_rank": F.row_number().over(whole().orderBy("n", "category")),
         }
     )
 
@@ -162,7 +167,7 @@ def daily_activity(chat: DataFrame) -> DataFrame:
 
 def active_day_weeks(daily: DataFrame, size: int = 7) -> DataFrame:
     """Buckets of `size` active days in order: ends, mean users, messages, days."""
-    bucket = F.floor((F.row_number().over(WHOLE.orderBy("day")) - 1) / size)
+    bucket = F.floor((F.row_number().over(whole().orderBy("day")) - 1) / size)
     return daily.withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(
         F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.round(F.avg("users"), 1).alias("mean_users"), F.sum("messages").alias("messages"), F.count(F.lit(1)).alias("active_days")
     )
@@ -176,7 +181,7 @@ def calendar_weeks(chat: DataFrame) -> DataFrame:
 
 def activity_trend(chat: DataFrame) -> DataFrame:
     """One row: mean users of the last seven active days against the seven before, the peak day, distinct users."""
-    daily = daily_activity(chat).withColumn("r", F.row_number().over(WHOLE.orderBy(F.desc("day"))))
+    daily = daily_activity(chat).withColumn("r", F.row_number().over(whole().orderBy(F.desc("day"))))
     users = chat.agg(F.countDistinct("user_id").alias("n")).first()["n"]
     found = daily.agg(
         F.avg(F.when(F.col("r") <= 7, F.col("users"))).alias("recent"),
