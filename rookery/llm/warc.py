@@ -1,9 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-partitioned and sorted by page_id, so that the shards in order are the table in
-order. A task writes its range as gzip members (one a record, time stamp 0) to a temporary name and
-rolls to the next file when the compressed size reaches `roll_bytes`; a finished file is renamed to a
-name made from partition and number, and reported with its size and SHA-256 in the manifest. The
+Pages are dealt to shards by ranges of page_id and sorted, so that the shards in order are the table in
+order. The bounds are quantiles of the ids whose hash falls into a fixed share, so they depend on the
+ids alone and not on how Spark has split the table. A shard is written as gzip members (one a record,
+time stamp 0) to a temporary name and rolls to the next file when the compressed size reaches
+`roll_bytes`; a finished file is renamed to a name made from shard and number, and reported with its
+size and SHA-256 in the manifest. The
 manifest is a Parquet table that Spark commits when all tasks are done; the reader reads only the
 files it lists and checks size and digest. A retried or speculative task rewrites the same bytes
 under the same names.
@@ -32,6 +34,8 @@ import io
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,7 @@ from .common import scratch_path
 
 MANIFEST = "file string, bytes long, records long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+MAX_SAMPLE = 1_000_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -115,38 +120,59 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(decided, "page_id", "left")
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: int = 16 << 20) -> DataFrame:
-    """Write `pages` (page_id, url, html) under `path`; returns the manifest, which is committed when this returns."""
+def shard_bounds(pages: DataFrame, shards: int) -> list[int]:
+    """At most shards - 1 ids that cut the table into ranges of about one size, from at most MAX_SAMPLE ids."""
+    n = pages.count()
+    share = max(1, n // min(MAX_SAMPLE, 32 * shards))
+    some = pages.select("page_id").where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0))
+    ids = sorted(r[0] for r in some.collect())
+    return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
+
+
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: int = 16 << 20, shards: int | None = None) -> DataFrame:
+    """Write `pages` (page_id, url, html) under `path`; returns the manifest, which is committed when this returns.
+
+    `shards`: how many ranges; the session's number of shuffle partitions if not given.
+    """
     spark = pages.sparkSession
     data, manifest = f"{path}/data", f"{path}/manifest"
-    placed = mark_revisits(pages, least_bytes)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(parts, "page_id").sortWithinPartitions("page_id", "url", "html")
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = spark.sparkContext.broadcast(np.array(shard_bounds(pages, shards), np.int64))
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series) -> pd.Series:
+        ids = page_id.fillna(np.iinfo(np.int64).min).astype(np.int64)
+        return pd.Series(np.searchsorted(bounds.value, ids, "right").astype(np.int32))
+
+    placed = mark_revisits(pages, least_bytes).withColumn("shard", shard_of(F.col("page_id")))
+    ordered = placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get()
+        attempt = TaskContext.get().taskAttemptId()
         store, root = _filesystem(data)
-        buffer, number, records = io.BytesIO(), 0, 0
+        buffer, shard, number, records = io.BytesIO(), -1, 0, 0
 
-        def flush():
+        def flush() -> pa.RecordBatch:
             nonlocal buffer, number, records
             content = buffer.getvalue()
-            name = f"part-{task.partitionId():06d}-{number:05d}.warc.gz"
-            temporary = f"{root}/_temporary-{task.taskAttemptId()}-{name}"
+            name = f"part-{shard:06d}-{number:05d}.warc.gz"
+            temporary = f"{root}/_temporary-{attempt}-{name}"
             store.create_dir(root, recursive=True)
             with store.open_output_stream(temporary, compression=None) as out:
                 out.write(content)
             store.move(temporary, f"{root}/{name}")
-            row = pa.RecordBatch.from_pylist(
-                [{"file": name, "bytes": len(content), "records": records, "sha256": hashlib.sha256(content).hexdigest()}]
-            )
+            row = {"file": name, "bytes": len(content), "records": records, "sha256": hashlib.sha256(content).hexdigest()}
             buffer, number, records = io.BytesIO(), number + 1, 0
-            return row
+            return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
+            for page_id, url, html, refers_to, own in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "shard")), strict=True):
+                if own.as_py() != shard:
+                    if records:
+                        yield flush()
+                    shard, number = own.as_py(), 0
                 buffer.write(encode_record(page_id.as_py(), url.as_py(), html.as_buffer().to_pybytes(), refers_to.as_py()))
                 records += 1
                 if buffer.tell() >= roll_bytes:
