@@ -170,7 +170,8 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
         "group_size",
         F.when(F.coalesce("texts", F.lit(1)) > 1, F.raise_error(F.lit("two texts share one SHA-256"))).alias("clash"),
     )
-    out = digests.join(decided, "digest")
+    # written, so that the join's two sides are plain exchanges and a hot digest's rows can be split
+    out = digests.join(materialise(decided, "dedup-decided"), "digest")
     return out.where("clash IS NULL").select(
         "doc_id",
         "keep_id",
