@@ -37,6 +37,7 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 BUCKET = 1024
+TASK_NODES = 100_000
 _CHUNK = 1 << 16
 
 
@@ -178,7 +179,10 @@ def _and_end(batches: Iterator) -> Iterator:
 
 def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """a, b: links that connect all distinct fingerprints of `nodes` (fp) within DISTANCE bits."""
-    signed = nodes.select("fp").mapInArrow(_signatures, "key long, fp long")
+    spark = nodes.sparkSession
+    # a fingerprint becomes 64 rows: tasks are dealt by their number, not by the size of the table's files
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // TASK_NODES))
+    signed = nodes.select("fp").repartition(parts, "fp").mapInArrow(_signatures, "key long, fp long")
     large = materialise(signed.groupBy("key").count().where(F.col("count") > bucket).select("key"), "simhash-large")
     usual = signed.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp")
     links = usual.mapInArrow(_links(["key"]), "a long, b long")
