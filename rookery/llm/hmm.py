@@ -318,6 +318,8 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, passes: int =
 
     `held_out`: a boolean column over doc_id of the rows that are not learned from.
     """
+    if 1 + SUFFIX_CLASSES + vocabulary > 1 << 16:
+        raise ValueError("symbols are written in two bytes: use fewer words or classes")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("copy"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")

@@ -162,7 +162,13 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: in
             store.create_dir(root, recursive=True)
             with store.open_output_stream(temporary, compression=None) as out:
                 out.write(content)
-            store.move(temporary, f"{root}/{name}")
+            try:
+                store.move(temporary, f"{root}/{name}")
+            except OSError:
+                # another attempt at this task has put the same bytes there
+                if store.get_file_info(f"{root}/{name}").size != len(content):
+                    raise
+                store.delete_file(temporary)
             row = {"file": name, "bytes": len(content), "records": records, "sha256": hashlib.sha256(content).hexdigest()}
             buffer, number, records = io.BytesIO(), number + 1, 0
             return pa.RecordBatch.from_pylist([row])
