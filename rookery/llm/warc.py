@@ -15,8 +15,8 @@ Headers and digests are regenerated from the payload: the first page_id of equal
 `least_bytes` are all responses.
 
 Scale: equal payloads are found on (digest, page_id) rows only, grouped with partial aggregation;
-whole pages move in two shuffles, one to meet their decision and one to be range-sorted. A task
-holds one page and one file buffer. Files are written through the file system that the shared
+whole pages move once, to be range-sorted, and meet their decisions there. A task holds one page and
+one file buffer; a reading task opens its files itself. Files are written through the file system that the shared
 folder's URI names (local, hdfs, s3, gs).
 
 Defined results: a null html is an empty payload; a null url becomes an empty target; a null
@@ -45,6 +45,7 @@ from .common import scratch_path
 MANIFEST = "file string, bytes long, records long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 MAX_SAMPLE = 1_000_000
+MOST_TASKS = 100_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -109,15 +110,13 @@ def decode_records(stream) -> Iterator[tuple]:
         yield (page and int(page), head["WARC-Target-URI"], length, digest, kind, refers and int(refers), payload if kind == "response" else None)
 
 
-def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to: null for the first page_id of equal payloads."""
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    # sha1 and length name a payload here; the writer puts SHA-1 in the headers
-    keyed = rows.select("page_id", F.sha1("html").alias("sha"), F.octet_length("html").alias("size"))
-    first = keyed.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+def find_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """page_id, sha, refers_to: the pages whose payload an earlier page_id has, by SHA-1 and that page."""
+    payload = F.coalesce("html", F.lit(""))
+    keyed = pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size"))
+    first = keyed.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     again = first.where("n > 1").drop("n")
-    decided = keyed.join(again, ["sha", "size"]).where("page_id > first").groupBy("page_id").agg(F.min("first").alias("refers_to"))
-    return rows.join(decided, "page_id", "left")
+    return keyed.join(again, ["sha", "size"]).where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
 def shard_bounds(pages: DataFrame, shards: int) -> list[int]:
@@ -144,8 +143,14 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: in
         ids = page_id.fillna(np.iinfo(np.int64).min).astype(np.int64)
         return pd.Series(np.searchsorted(bounds.value, ids, "right").astype(np.int32))
 
-    placed = mark_revisits(pages, least_bytes).withColumn("shard", shard_of(F.col("page_id")))
-    ordered = placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    rows = pages.select(
+        "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("refers_to")
+    )
+    # a decision travels as a row in front of its page, so that pages move once
+    decided = find_revisits(pages, least_bytes).select("page_id", F.lit("").alias("url"), F.lit("").alias("html"), "sha", "refers_to")
+    placed = rows.unionByName(decided).withColumn("shard", shard_of(F.col("page_id")))
+    order = ["shard", "page_id", F.col("sha").isNull(), "url", "html"]
+    ordered = placed.repartitionByRange(shards, "shard").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -153,6 +158,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: in
         attempt = TaskContext.get().taskAttemptId()
         store, root = _filesystem(data)
         buffer, shard, number, records = io.BytesIO(), -1, 0, 0
+        known: tuple = (None, {})
 
         def flush() -> pa.RecordBatch:
             nonlocal buffer, number, records
@@ -174,12 +180,21 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: in
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for page_id, url, html, refers_to, own in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "shard")), strict=True):
+            columns = (batch.column(c) for c in ("page_id", "url", "html", "sha", "refers_to", "shard"))
+            for page_id, url, html, sha, refers_to, own in zip(*columns, strict=True):
+                page = page_id.as_py()
+                if page != known[0]:
+                    known = (page, {})
+                if sha.is_valid:
+                    known[1][sha.as_py()] = refers_to.as_py()
+                    continue
                 if own.as_py() != shard:
                     if records:
                         yield flush()
                     shard, number = own.as_py(), 0
-                buffer.write(encode_record(page_id.as_py(), url.as_py(), html.as_buffer().to_pybytes(), refers_to.as_py()))
+                payload = html.as_buffer().to_pybytes()
+                first = known[1].get(hashlib.sha1(payload).hexdigest()) if known[1] else None
+                buffer.write(encode_record(page, url.as_py(), payload, first))
                 records += 1
                 if buffer.tell() >= roll_bytes:
                     yield flush()
@@ -193,25 +208,25 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: in
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all files of the manifest under `path`, with payloads (null for revisits)."""
     manifest = spark.read.parquet(f"{path}/manifest")
-    if manifest.isEmpty():
+    n = manifest.count()
+    if not n:
         return spark.createDataFrame([], RECORD)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(f"{path}/data")
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", "length")
-    listed = manifest.join(named, "file", "left")
+    data = f"{path}/data"
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in RECORD.split(", ")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in RECORD.split(", ")]
-        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-        schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in RECORD.split(", ")])
+        store, root = _filesystem(data)
         for batch in batches:
-            for row in range(batch.num_rows):
-                content, sha = batch.column("content")[row], batch.column("sha256")[row].as_py()
-                if not content.is_valid or hashlib.sha256(content.as_buffer()).hexdigest() != sha:
-                    raise ValueError(f"{batch.column('file')[row]} is missing or damaged")
+            for file, sha, size in zip(*(batch.column(c).to_pylist() for c in ("file", "sha256", "bytes")), strict=True):
+                with store.open_input_file(f"{root}/{file}") as f:
+                    content = f.read_buffer()
+                if content.size != size or hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"{file} is damaged")
                 rows, held = [], 0
-                with gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())) as stream:
+                with gzip.GzipFile(fileobj=pa.BufferReader(content)) as stream:
                     for record in decode_records(stream):
-                        rows.append(dict(zip(names, record, strict=True)))
+                        rows.append(dict(zip(schema.names, record, strict=True)))
                         held += len(record[-1] or b"")
                         if held > 8 << 20 or len(rows) >= 4096:
                             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -219,7 +234,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return listed.mapInArrow(read, RECORD)
+    # a task opens the files of its rows itself: archives are not shuffled
+    return manifest.repartition(min(n, MOST_TASKS), "file").mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, roll_bytes: int = 16 << 20) -> DataFrame:
