@@ -83,7 +83,7 @@ def text_quality(text: Column) -> Column:
     lines = F.split(text, "\n")
     meaningful = F.size(F.filter(lines, lambda x: F.char_length(F.trim(x)) >= 10)) / F.size(lines)
     length = F.least(F.char_length(text) / 1000, F.lit(1.0))
-    return F.round(50 * ordinary + 30 * meaningful + 20 * length, 4)
+    return 50 * ordinary + 30 * meaningful + 20 * length
 
 
 def corruption_flags(text: Column) -> dict[str, Column]:
@@ -104,7 +104,7 @@ def corpus_quality(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     flags = corruption_flags(text)
     rows = docs.select("lang", "source", text_quality(text).alias("quality"), *(c.cast("long").alias(k) for k, c in flags.items()))
-    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 4).alias("quality"), *(F.sum(k).alias(k) for k in flags))
+    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 5).alias("quality"), *(F.sum(k).alias(k) for k in flags))
 
 
 def sections(docs: DataFrame, heading: str = r"^[^|]{1,30}\.$") -> DataFrame:

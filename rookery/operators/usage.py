@@ -173,8 +173,8 @@ def what_if_prices(usage: DataFrame) -> DataFrame:
     plans = F.array(
         F.struct(F.lit("fixed").alias("plan"), F.lit(float(BASE_FEE)).alias("yen")),
         F.struct(F.lit("tiered").alias("plan"), yen_plan(tokens).alias("yen")),
-        F.struct(F.lit("two_tier").alias("plan"), F.round(two_tier_cost(tokens) * YEN_PER_USD, 4).alias("yen")),
-        F.struct(F.lit("standard").alias("plan"), F.round(standard, 4).alias("yen")),
+        F.struct(F.lit("two_tier").alias("plan"), F.round(two_tier_cost(tokens) * YEN_PER_USD, 6).alias("yen")),
+        F.struct(F.lit("standard").alias("plan"), F.round(standard, 6).alias("yen")),
     )
     rows = usage.select("company_id", "total_tokens", F.explode(plans).alias("p")).select("company_id", "total_tokens", "p.plan", "p.yen")
     return rows.withColumn("yen_per_million", F.round(F.col("yen") * 1e6 / F.greatest("total_tokens", F.lit(1)), 4))

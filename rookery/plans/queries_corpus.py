@@ -69,9 +69,9 @@ def url_routes(d):
     "t6_corpus_quality",
     r"""WITH f AS (SELECT lang, source, coalesce(text, '') AS t FROM documents),
  m AS (SELECT lang, source, t, length(t) - length(regexp_replace(t, '[$%&*#@^~]', '', 'g')) AS marks, greatest(length(t), 1) AS n, string_split(t, chr(10)) AS lines FROM f),
- q AS (SELECT lang, source, round(50 * (CAST(length(regexp_replace(t, '[^A-Za-z0-9À-ÿ .,;:!?\n]', '', 'g')) AS DOUBLE) / n) + 30 * (CAST(len(list_filter(lines, lambda x: length(trim(x)) >= 10)) AS DOUBLE) / len(lines)) + 20 * least(CAST(length(t) AS DOUBLE) / 1000, 1.0), 4) AS quality,
+ q AS (SELECT lang, source, (50 * (CAST(length(regexp_replace(t, '[^A-Za-z0-9À-ÿ .,;:!?\n]', '', 'g')) AS DOUBLE) / n) + 30 * (CAST(len(list_filter(lines, lambda x: length(trim(x)) >= 10)) AS DOUBLE) / len(lines)) + 20 * least(CAST(length(t) AS DOUBLE) / 1000, 1.0)) AS quality,
  marks > 30 AS a, CAST(marks AS DOUBLE) / n > 0.05 AS b, contains(t, chr(65533)) AS c, regexp_matches(t, '[^ ]{40}') AS e, regexp_matches(t, '[\x00-\x08\x0e-\x1f]') AS g FROM m)
- SELECT lang, source, count(*) AS n, round(avg(quality), 4) AS quality, count(*) FILTER (a) AS many_marks, count(*) FILTER (b) AS share_of_marks, count(*) FILTER (c) AS replacement,
+ SELECT lang, source, count(*) AS n, round(avg(quality), 5) AS quality, count(*) FILTER (a) AS many_marks, count(*) FILTER (b) AS share_of_marks, count(*) FILTER (c) AS replacement,
  count(*) FILTER (e) AS long_runs, count(*) FILTER (g) AS control FROM q GROUP BY 1, 2""",
 )
 def corpus_quality(d):
@@ -166,7 +166,7 @@ def cosine_to_label_mean(d):
 @query("r35_ann_topk")
 def ann_topk(d):
     asked = d.chunk_vectors.where("CAST(chunk_id AS INT) % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return R.ann_topk(asked, d.chunk_vectors, 10, lists=32, probes=16)
+    return R.ann_topk(asked, d.chunk_vectors, 10, lists=32, probes=24)
 
 
 WORDS = r"list_filter(string_split_regex(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) >= {n})"

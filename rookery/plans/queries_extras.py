@@ -213,11 +213,11 @@ def smart_search(d):
     + KEYWORDS
     + BM25
     + """, o AS (SELECT query_id, chunk_id, score, 0 AS priority FROM bm WHERE rank <= 5 UNION ALL SELECT query_id, chunk_id, score * 0.9, 1 FROM bm WHERE rank <= 10),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY priority, score DESC) AS r FROM o) SELECT query_id, chunk_id, round(score, 5) AS score, CAST(priority AS BIGINT) AS priority FROM r WHERE r = 1""",
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY priority, score DESC) AS r FROM o) SELECT query_id, chunk_id, round(score, 8) AS score, CAST(priority AS BIGINT) AS priority FROM r WHERE r = 1""",
 )
 def merge_expanded(d):
     hits = hits_of(d)
-    return X.merge_expanded(hits.where("rank <= 5"), hits).withColumn("score", F.round("score", 5))
+    return X.merge_expanded(hits.where("rank <= 5"), hits).withColumn("score", F.round("score", 8))
 
 
 @query(

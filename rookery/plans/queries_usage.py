@@ -152,8 +152,8 @@ def member_usage(d):
 @query(
     "c6_what_if_prices",
     f"""WITH {USAGE}, p AS (SELECT company_id, total_tokens, unnest([{{'plan': 'fixed', 'yen': CAST(150000 AS DOUBLE)}}, {{'plan': 'tiered', 'yen': CAST({YEN.format(t="total_tokens")} AS DOUBLE)}},
- {{'plan': 'two_tier', 'yen': CAST(round(round(CAST(least(total_tokens, 200000) AS DOUBLE) / 1000 * 0.00125 + CAST(greatest(total_tokens - 200000, 0) AS DOUBLE) / 1000 * 0.0025, 6) * 150, 4) AS DOUBLE)}},
- {{'plan': 'standard', 'yen': CAST(round((CAST(input_tokens AS DOUBLE) / 1000 * 0.0003 + CAST(output_tokens AS DOUBLE) / 1000 * 0.0025 + CAST(prompt_references AS DOUBLE) * 0.5 / 150) * 150, 4) AS DOUBLE)}}]) AS p FROM usage_rows)
+ {{'plan': 'two_tier', 'yen': CAST(round(round(CAST(least(total_tokens, 200000) AS DOUBLE) / 1000 * 0.00125 + CAST(greatest(total_tokens - 200000, 0) AS DOUBLE) / 1000 * 0.0025, 6) * 150, 6) AS DOUBLE)}},
+ {{'plan': 'standard', 'yen': CAST(round((CAST(input_tokens AS DOUBLE) / 1000 * 0.0003 + CAST(output_tokens AS DOUBLE) / 1000 * 0.0025 + CAST(prompt_references AS DOUBLE) * 0.5 / 150) * 150, 6) AS DOUBLE)}}]) AS p FROM usage_rows)
  SELECT company_id, total_tokens, p.plan AS plan, p.yen AS yen, round(p.yen * 1000000 / greatest(total_tokens, 1), 4) AS yen_per_million FROM p""",
 )
 def what_if_prices(d):

@@ -30,7 +30,7 @@ def _topk(spark, how):
 
     vectors = Domain(spark, "/root/testdata/sf0.01").chunk_vectors
     asked = vectors.where("CAST(chunk_id AS INT) % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    run = retrieval.vector_topk(asked, vectors, 10) if how == "exact" else retrieval.ann_topk(asked, vectors, 10, lists=32, probes=16)
+    run = retrieval.vector_topk(asked, vectors, 10) if how == "exact" else retrieval.ann_topk(asked, vectors, 10, lists=32, probes=24)
     return run.collect()
 
 
