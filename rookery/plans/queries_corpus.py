@@ -141,11 +141,11 @@ def record_text(d):
 @query(
     "r1_vector_topk",
     """WITH s AS (SELECT q.chunk_id AS query_id, c.chunk_id, round(CAST(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
- / sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) AS DOUBLE), 5) AS score FROM chunk_vectors q, chunk_vectors c WHERE CAST(q.chunk_id AS INT) < 20),
+ / sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) AS DOUBLE), 5) AS score FROM chunk_vectors q, chunk_vectors c WHERE CAST(q.chunk_id AS INT) % 20 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
 )
 def vector_topk(d):
-    asked = d.chunk_vectors.where("CAST(chunk_id AS INT) < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
+    asked = d.chunk_vectors.where("CAST(chunk_id AS INT) % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     return R.vector_topk(asked, d.chunk_vectors, 10)
 
 
@@ -233,7 +233,7 @@ NORMAL = r"trim(regexp_replace(lower({t}), '[\t\n\r ]+', ' ', 'g'))"
 
 @query(
     "r3_fuzzy_topk",
-    f"""WITH q AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, {NORMAL.format(t="user_message")} AS t FROM chat_turns WHERE turn <= 1),
+    f"""WITH q AS (SELECT id AS query_id, {NORMAL.format(t="user_message")} AS t FROM chat_turns WHERE conv_id % 20 = 0),
  c AS (SELECT id AS chunk_id, {NORMAL.format(t="user_message")} AS t FROM chat_turns),
  qg AS (SELECT query_id, t, {GRAMS.format(t="t")} AS g FROM q), cg AS (SELECT chunk_id, t, {GRAMS.format(t="t")} AS g FROM c),
  s AS (SELECT query_id, chunk_id, qg.t AS qt, cg.t AS ct, round(CAST(len(list_intersect(qg.g, cg.g)) AS DOUBLE) / len(list_distinct(list_concat(qg.g, cg.g))), 6) AS similarity FROM qg, cg),
@@ -241,7 +241,7 @@ NORMAL = r"trim(regexp_replace(lower({t}), '[\t\n\r ]+', ' ', 'g'))"
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k) SELECT * FROM r WHERE rank <= 40""",
 )
 def fuzzy_topk(d):
-    asked = d.chat_turns.where("turn <= 1").select(F.col("conv_id").cast("string").alias("query_id"), F.col("user_message").alias("text"))
+    asked = d.chat_turns.where("conv_id % 20 = 0").select(F.col("id").alias("query_id"), F.col("user_message").alias("text"))
     return R.fuzzy_topk(asked, d.chat_turns.select(F.col("id").alias("chunk_id"), F.col("user_message").alias("content")))
 
 

@@ -54,14 +54,14 @@ def parallel_merge(d):
     return X.parallel_merge([hits_of(d), R.keyword_count_rank(keyword_table(d), chunks_of(d))])
 
 
-@query("r19_vector_with_backfill", """WITH e AS (SELECT chunk_id, CASE WHEN CAST(chunk_id AS INT) % 5 = 0 THEN NULL ELSE embedding END AS embedding FROM chunk_vectors),
+@query("r19_vector_with_backfill", """WITH e AS (SELECT chunk_id, CASE WHEN CAST(chunk_id AS INT) % 7 = 6 THEN NULL ELSE embedding END AS embedding FROM chunk_vectors),
  s AS (SELECT q.chunk_id AS query_id, c.chunk_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 5) AS score
- FROM e q, e c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL AND CAST(q.chunk_id AS INT) < 20),
+ FROM e q, e c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL AND CAST(q.chunk_id AS INT) % 20 = 0),
  n AS (SELECT chunk_id FROM e WHERE embedding IS NULL ORDER BY chunk_id DESC LIMIT 5)
  SELECT * FROM s UNION ALL SELECT q.query_id, n.chunk_id, CAST(0.4 AS DOUBLE) FROM (SELECT DISTINCT query_id FROM s) q, n""")
 def vector_with_backfill(d):
-    chunks = d.chunk_vectors.withColumn("embedding", F.when(F.col("chunk_id").cast("int") % 5 != 0, F.col("embedding")))
-    asked = chunks.where("embedding IS NOT NULL AND CAST(chunk_id AS INT) < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
+    chunks = d.chunk_vectors.withColumn("embedding", F.when(F.col("chunk_id").cast("int") % 7 != 6, F.col("embedding")))
+    asked = chunks.where("embedding IS NOT NULL AND CAST(chunk_id AS INT) % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     return X.vector_with_backfill(asked, chunks, k=100_000)
 
 
