@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SHARD_KEYS = 65536
+SALTS = 16
 FILTER_SCHEMA = "shard int, seed long, segment_length int, segment_count int, bits binary"
 
 
@@ -182,7 +183,12 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 
 def byte_check(texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """digest, texts: how many different texts each repeated digest has; grouping on the text compares its bytes."""
-    keyed = texts.select(F.sha2("text", 256).alias("digest"), "text")
-    alike = keyed.join(repeated, "digest", "left_semi").groupBy("digest", "text").agg(F.count(F.lit(1)).alias("rows"))
-    return alike.groupBy("digest").agg(F.count("rows").alias("texts"))
+    """digest, texts: how many different texts each repeated digest has; grouping on the text compares its bytes.
+
+    Rows of a digest are dealt over SALTS tasks by doc_id, and each task compares its own first.
+    """
+    salt = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).cast("int")
+    keyed = texts.select(F.sha2("text", 256).alias("digest"), "text", salt.alias("salt"))
+    spread = repeated.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    alike = keyed.join(spread, ["digest", "salt"], "left_semi").groupBy("digest", "salt", "text").agg(F.count(F.lit(1)).alias("rows"))
+    return alike.groupBy("digest", "text").agg(F.sum("rows").alias("rows")).groupBy("digest").agg(F.count("rows").alias("texts"))
