@@ -68,7 +68,7 @@ def _text_of(encoding: str):
 
 
 def read_csv_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """file, row, record of all CSV files of a folder: one read for each encoding and delimiter found."""
+    """file, record of all CSV files of a folder: one read for each encoding and delimiter found."""
     dialects = csv_dialects(spark, path).groupBy("encoding", "delimiter").agg(F.collect_list("path").alias("paths")).collect()
     if any(d["encoding"] not in ("UTF-8", "ISO-8859-1") for d in dialects):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else the CSV reader takes Unicode and Latin only
