@@ -14,6 +14,11 @@ to a fingerprint; its members agree in 46 bits, so there are at most 2^18 in any
 candidate is dropped. Components are found by alternating large-star and small-star joins on the
 links, written to the shared folder after each round.
 
+The pipeline links by similarity instead (`similar_copies`): texts of Jaccard 0.8 on five words lie some
+ten bits apart, up to twenty, and segments short enough to be equal there tell nothing apart. Candidates
+share one of the rarest fifth of their shingles, which no pair of 0.8 fails to do; WIDE bits of SimHash
+reject most others and the shingle sets themselves decide. Hot shingles come last in that order.
+
 Defined results: a null text counts as empty; A-Z are lower-cased; words are runs of anything but
 ASCII white space; fewer words than a shingle are one shingle; a text without words has fingerprint
 zero and is linked like any other; component_id is the smallest doc_id reachable (null ids don't
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -38,6 +43,8 @@ SEED = 42
 DISTANCE = 3
 BUCKET = 1024
 TASK_NODES = 100_000
+WIDE = 26
+SAMPLE = 8_000
 _CHUNK = 1 << 16
 
 
@@ -222,3 +229,138 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(components, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle of UTF-8 text; fewer words than a shingle are one shingle."""
+    words = text.lower().split()
+    texts = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) > shingle else [words]
+    return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in texts], np.uint64)
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles (distinct values)."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def _bits(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        some = np.ascontiguousarray(hashes[at : at + _CHUNK])
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def common_shingles(nodes: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur twice or more in about `sample` texts of `nodes`, sorted, with their counts."""
+    step = max(1, -(-nodes.count() // sample))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle)).view(np.int64))], ["s"])
+
+    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("text").mapInArrow(each, "s long")
+    found = some.groupBy("s").count().where("count > 1").toPandas().sort_values("s")
+    return found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+
+
+def _prefixes(nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, n, fp, keys: so many of each text's rarest shingles that two texts of `similarity` share one."""
+    shared = nodes.sparkSession.sparkContext.broadcast(common_shingles(nodes, shingle))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                sizes, prints, keys = [], [], []
+                for t in some.column("text").cast(pa.binary()).to_pylist():
+                    hashes = shingle_hashes(t, shingle)
+                    own = np.unique(hashes).view(np.int64)
+                    n = len(own)
+                    seen = np.zeros(n, np.int64)
+                    if len(common):
+                        place = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                        seen = np.where(common[place] == own, counts[place], 0)
+                    # one order of all shingles for all texts: whatever the sample counts, no pair is lost
+                    keys.append(own[np.lexsort((own, seen))[: n - int(np.ceil(round(similarity * n, 6))) + 1]])
+                    sizes.append(n)
+                    prints.append(_bits(hashes))
+                columns = [some.column("node"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "fp", "keys"])
+
+    return nodes.select("node", "text").mapInArrow(each, "node long, n long, fp long, keys array<long>")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts have the similarity."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = (b.column(c).cast(pa.binary()).to_pylist() for c in ("one", "two"))
+            sets = ((np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle))) for x, y in zip(one, two, strict=True))
+            near = pa.array([similarity_of(x, y) >= similarity - 1e-9 for x, y in sets], pa.bool_())
+            yield b.select(["a", "b"]).filter(near)
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = materialise(nodes.join(asked, "node", "left_semi"), "similar-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
+    return materialise(both.select("a", "b", "one", "two").mapInArrow(each, "a long, b long"), "similar-links")
+
+
+def _likely(pairs: DataFrame, marks: DataFrame, similarity: float, distance: int) -> DataFrame:
+    """The distinct pairs (a, b) that are alike in size and within `distance` bits."""
+    x, y = (marks.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b"))
+    close = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance
+    alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
+    return materialise(pairs.distinct().join(x, "a").join(y, "b").where(alike & close).select("a", "b"), "similar-pairs")
+
+
+def similar_links(nodes: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
+    """a, b: links that connect all texts of `nodes` (node, text) of at least `similarity`.
+
+    Texts that share a key are candidates. First each meets the least and the largest node of its keys, so
+    that a group of near copies is tied by a row or two a key; then those of one key that are not connected
+    yet meet each other. Pairs further than `distance` bits apart or too unlike in size are not read.
+    """
+    prints = materialise(_prefixes(nodes, shingle, similarity), "similar-prints")
+    marks = prints.select("node", "n", "fp")
+    keys = prints.select(F.explode("keys").alias("key"), "node").repartition("key")
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = materialise(keys.join(ends, "key"), "similar-shared")
+    stars = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("high").alias("b")))
+    stars = _likely(stars.where("a < b"), marks, similarity, distance)
+    first = _verified(stars, nodes, shingle, similarity)
+    rooted = shared.join(connected_components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = materialise(rooted.join(marks, "node"), "similar-rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = rooted.join(apart, "key", "left_semi")
+    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "fp", "root"))) for s in ("x", "y"))
+    close = F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= distance
+    alike = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6
+    pairs = x.join(y, "key").where("node_x < node_y AND root_x <> root_y").where(alike & close)
+    pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    return first.unionByName(_verified(materialise(pairs, "similar-pairs"), nodes, shingle, similarity))
+
+
+def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = WIDE) -> DataFrame:
+    """node, component_id of every text (doc_id, text) that is linked to another by shingle similarity.
+
+    A node is a doc_id, or for a null one the text's XXH64; component_id is the least doc_id of the
+    component (null ones don't count), or its least node if it has none.
+    """
+    text = F.coalesce("text", F.lit(""))
+    nodes = docs.select(node_of(docs).alias("node"), text.alias("text"))
+    linked = connected_components(similar_links(nodes, shingle, similarity, distance))
+    every = materialise(linked.unionByName(linked.select(F.col("root").alias("node"), "root")).distinct(), "similar-members")
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node")).distinct().withColumn("named", F.lit(True))
+    members = every.join(named, "node", "left")
+    least = members.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("named"), F.col("node"))), F.min("node")).alias("component_id"))
+    return every.join(least, "root").select("node", "component_id")
+
+
+def node_of(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
