@@ -185,7 +185,10 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Automata:
 
 
 def keep_identified(docs: DataFrame, model: Automata) -> DataFrame:
-    """The rows of `docs`, whole, whose text is of some language: all but those that `identify` calls `und`."""
+    """The rows of `docs`, whole, whose text is of some language: all but those that `identify` calls `und`.
+
+    A model that has learned nothing can't tell languages: then all texts with a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +196,12 @@ def keep_identified(docs: DataFrame, model: Automata) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 some = b.slice(at, 1024)
-                lang, _ = own.predict(some.column("text").to_pylist())
-                yield some.filter(pa.array([x != UNKNOWN for x in lang]))
+                texts = some.column("text").to_pylist()
+                if own.languages:
+                    keep = [x != UNKNOWN for x in own.predict(texts)[0]]
+                else:
+                    keep = [own.encode(t or "")[1] for t in texts]
+                yield some.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
 
