@@ -21,10 +21,26 @@ from ..operators.usage import monthly_rollup
 ROLLUP_KEYS = ["company_id", "user_id", "year_month"]
 
 
-def write_by_day(chat: DataFrame, path: str) -> None:
-    """The log as one folder of files, in time order by day, for file streams."""
+def write_by_day(chat: DataFrame, path: str, rows_per_file: int = 2000) -> None:
+    """The log as one folder of files in event-time order, for file streams.
+
+    Files hold ranges of time that don't overlap, an instant is in one file only. File streams take files by
+    modification time, so that is set in the order of the ranges, whichever task was done first.
+    """
     rows = chat.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    rows.repartitionByRange(F.to_date("timestamp")).sortWithinPartitions("timestamp").write.option("maxRecordsPerFile", 2000).parquet(path)
+    files = max(1, -(-rows.count() // rows_per_file))
+    rows.repartitionByRange(files, "timestamp").sortWithinPartitions("timestamp").write.parquet(path)
+    spark = chat.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda: sorted((int(f.getPath().getName().split("-")[1]), f.getModificationTime(), f.getPath()) for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    written = names()
+    last = max(time for _, time, _ in written)
+    for n, (_, _, file) in enumerate(written):
+        store.setTimes(file, last - len(written) + n, -1)
+    times = [time for _, time, _ in names()]
+    if any(x >= y for x, y in zip(times, times[1:], strict=False)):
+        raise ValueError(f"{path} is in a store that keeps no modification times: its files can't be read in order")
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files: int = 2) -> DataFrame:
