@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from rookery.operators.usage import monthly_rollup
+from rookery.operators.usage import monthly_rollup, rate_limited
 from rookery.streaming import jobs
 
 
@@ -31,3 +31,15 @@ def test_many_files_come_in_event_time_order(spark, tmp_path):
     counts = {str(r["day"]): r["count"] for r in log.groupBy(F.to_date("timestamp").alias("day")).count().collect()}
     got = {r.day: r.messages for r in days.collect()}
     assert len(got) >= len(counts) - 2 and all(counts[d] == n for d, n in got.items())
+
+
+def test_hot_user_over_batches_and_triggers(spark, tmp_path):
+    log = log_of(spark, 26_000, 3).withColumn("employee_id", F.lit("hot"))
+    jobs.write_by_day(log, f"{tmp_path}/log", 500)
+    stored = spark.read.parquet(f"{tmp_path}/log")
+    stream = lambda: jobs.read_stream(spark, f"{tmp_path}/log", stored.schema, 30)
+    found = collected(jobs.limit_requests(stream(), 2), f"{tmp_path}/limit")
+    assert rows(found) == rows(rate_limited(stored, 2).select(*found.columns))
+    used = {r.id: r.used for r in collected(jobs.count_quota(stream()), f"{tmp_path}/quota").collect()}
+    order = [r.id for r in stored.select("id").collect()]
+    assert [used[i] for i in sorted(order, key=lambda i: (int(i) * 7919 % 26_000, i))] == list(range(1, 26_001))
