@@ -2,8 +2,8 @@
 
 Queries and chunks are DataFrames; every operator returns hits (query_id, chunk_id, score, ...). Keyword
 and trigram search find their candidates by equality joins on words or grams, scoring them after. Vector
-search multiplies blocks of the query set with each batch of vectors inside its task: a stated query set
-against all rows, in blocks. Only top-k rows of each task are shuffled.
+search multiplies blocks of the query set with each batch of vectors inside its task: one block after
+another is sent to the tasks, so that no number of queries is too large. Only top-k rows of each task are shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import shared_path
 
 QUERY_BLOCK = 512
 MAX_QUERIES = 100_000
@@ -43,15 +46,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norms, F.lit(0.0)), F.lit(0.0))
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 5) -> DataFrame:
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 5, block: int = MAX_QUERIES) -> DataFrame:
     """query_id, chunk_id, score, rank: the k chunks of the largest cosine, for queries (query_id, embedding).
 
-    The query set is sent to the tasks (at most MAX_QUERIES vectors); each batch of chunks keeps the k best
-    of each query with ties beyond them, so that rounding and tie order are settled in the final ranking.
+    Queries are taken in blocks of about `block` rows, one after another; more than one block is read from a
+    table in the shared folder and its hits are written there. Each batch of chunks keeps the k best of each
+    query with ties beyond them, so that rounding and tie order are settled in the final ranking.
     """
-    found = queries.select("query_id", "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(found) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries a job")
+    asked = queries.select("query_id", "embedding")
+    blocks = -(-asked.count() // block)
+    if blocks <= 1:
+        return _block_topk(asked.collect(), chunks, k, digits)[0]
+    spark = chunks.sparkSession
+    path = shared_path(spark, "vector-topk")
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    asked.select("*", number).repartition("block").write.partitionBy("block").parquet(f"{path}/queries")
+    stored = spark.read.schema(T.StructType([*asked.schema.fields, T.StructField("block", T.IntegerType())])).parquet(f"{path}/queries")
+    for i in range(blocks):
+        some = stored.where(F.col("block") == i).select("query_id", "embedding").collect()
+        hits, shared = _block_topk(some, chunks, k, digits)
+        hits.write.parquet(f"{path}/hits/block={i}")
+        shared.destroy()
+    return spark.read.schema(hits.schema).parquet(f"{path}/hits").select(*hits.columns)
+
+
+def _block_topk(found: list, chunks: DataFrame, k: int, digits: int):
+    """Top-k of one block of query rows, and the broadcast it reads."""
     ids = np.array([r["query_id"] for r in found], object)
     matrix = np.array([r["embedding"] for r in found], np.float64).reshape(len(found), -1)
     norms = np.linalg.norm(matrix, axis=1)
@@ -75,7 +95,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 5)
                 yield pd.DataFrame({"query_id": ids[at + q], "chunk_id": names[c], "score": scores[q, c]})
 
     hits = chunks.select("chunk_id", "embedding").where("embedding IS NOT NULL").mapInPandas(best, "query_id string, chunk_id string, score double")
-    return top_k(hits, k)
+    return top_k(hits, k), shared
 
 
 def trigrams(c: Column) -> Column:
