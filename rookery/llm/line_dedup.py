@@ -33,7 +33,8 @@ def line_keys(text: Column) -> Column:
 
 
 def _hash(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("line")).alias("h2"))
+    # xxhash64 seeds each argument with the hash of those before it: the key comes last, under two seeds
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
 class LineRuns:
