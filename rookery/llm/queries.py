@@ -14,7 +14,7 @@ from .language_id import fit, fold_of, identify
 from .line_dedup import drop_frequent_lines
 from .packing import pack
 from .simhash import near_duplicates
-from .url_filter import host_of, judge_urls
+from .url_filter import SPAM_WORDS, has_word, host_of, judge_urls
 from .warc import round_trip
 
 RULES = [
@@ -80,12 +80,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """host, bad of the pages with an outcome: bad if the host carries a word of SPAM_WORDS, else as the document is that the path names."""
+    bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    named = pages.select(host_of(F.col("url")).alias("host"), F.regexp_extract("url", r"/[a-z]{2}/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
+    met = named.join(bad, "doc_id", "left")
+    return met.select("host", F.when(has_word(F.col("host"), SPAM_WORDS), True).otherwise(F.col("bad")).alias("bad")).where("bad IS NOT NULL")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is that of the document its path names: bad if of low quality or toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    named = pages.select(host_of(F.col("url")).alias("host"), F.regexp_extract("url", r"/[a-z]{2}/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
-    return judge_urls(pages, named.join(labels, "doc_id").select("host", "bad"), RULES)
+    return judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), RULES)
 
 
 QUERIES = {

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RULES = 1000
+#: Words that advertising, betting and counterfeit sites carry in their names.
+SPAM_WORDS = ["ads", "bet", "bets", "casino", "loans", "pills", "poker", "porn", "replica", "spam", "track", "xxx"]
 #: Second-level labels under which names are registered (co.uk and the like).
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
 
@@ -36,8 +38,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(rest, F.lit(""))
 
 
+def _name_of(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+
+
 def suffix_of(host: Column) -> Column:
-    labels = F.split(host, r"\.")
+    labels = F.split(_name_of(host), r"\.")
     n = F.size(labels)
     last, second = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
     return F.when((n > 2) & second.isin(SECOND_LEVEL) & (F.length(last) == 2), F.concat_ws(".", second, last)).otherwise(last)
@@ -46,8 +53,14 @@ def suffix_of(host: Column) -> Column:
 def domain_of(host: Column) -> Column:
     """The registered domain: one label before the suffix; a bare name is its own domain."""
     second = "|".join(SECOND_LEVEL)
-    found = F.regexp_extract(host, rf"([^.]+\.(?:(?:{second})\.[^.]{{2}}|[^.]+))$", 1)
-    return F.when(found == "", host).otherwise(found)
+    name = _name_of(host)
+    found = F.regexp_extract(name, rf"([^.]+\.(?:(?:{second})\.[^.]{{2}}|[^.]+))$", 1)
+    return F.when(found == "", name).otherwise(found)
+
+
+def has_word(host: Column, words: list[str]) -> Column:
+    """Whether one of the words stands between dots, hyphens or the ends of the host."""
+    return host.rlike(rf"(^|[.-])({'|'.join(words)})([.-]|$)")
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
