@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
 Pages are dealt to shards by ranges of page_id and sorted, so that the shards in order are the table in
-order. The bounds are quantiles of the ids whose hash falls into a fixed share, so they depend on the
-ids alone and not on how Spark has split the table. A shard is written as gzip members (one a record,
+order. There is a shard for every `shard_bytes` of payload; the bounds are quantiles of the ids whose hash
+falls into a fixed share, so they depend on the pages alone and not on how Spark has split the table. A shard is written as gzip members (one a record,
 time stamp 0) to a temporary name and rolls to the next file when the compressed size reaches
 `roll_bytes`; a finished file is renamed to a name made from shard and number, and reported with its
 size and SHA-256 in the manifest. The
@@ -11,11 +11,13 @@ files it lists and checks size and digest. A retried or speculative task rewrite
 under the same names.
 
 Headers and digests are regenerated from the payload: the first page_id of equal payloads is a
-`response`, the others are `revisit` records without a payload that name it. Payloads shorter than
-`least_bytes` are all responses.
+`response`, the others are `revisit` records without a payload that name it by page, URI and record.
+Payloads shorter than `least_bytes` are all responses. A record's id is made from page, URI, payload and
+the number of its repeat, so that it is its own.
 
 Scale: equal payloads are found on (digest, page_id) rows only, grouped with partial aggregation;
-whole pages move once, to be range-sorted, and meet their decisions there. A task holds one page and
+whole pages move once, to be range-sorted, and meet their decisions there (a decision without its page
+is an error). Shards are of one size however many pages there are. A task holds one page and
 one file buffer; a reading task opens its files itself. Files are written through the file system that the shared
 folder's URI names (local, hdfs, s3, gs).
 
@@ -35,7 +37,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ from .common import scratch_path
 MANIFEST = "file string, bytes long, records long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 MAX_SAMPLE = 1_000_000
+SHARD_BYTES = 128 << 20
 MOST_TASKS = 100_000
 DATE = "1970-01-01T00:00:00Z"
 
@@ -59,32 +61,39 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
+def record_id(page_id, url: str, sha: str, repeat: int = 0) -> str:
+    """`sha`: SHA-1 of the payload in hex; `repeat`: how many equal records are in front of this one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {sha} {repeat} {url}')}>"
 
 
-def encode_record(page_id, url: str, payload: bytes, refers_to) -> bytes:
-    """One WARC/1.1 record as a gzip member; `refers_to` is the first page with this payload, None for a response."""
-    revisit = refers_to is not None
+def _one_line(url: str) -> str:
+    return url.replace("\r", "").replace("\n", "")
+
+
+def encode_record(page_id, url: str, payload: bytes, first: tuple | None, repeat: int = 0) -> bytes:
+    """One WARC/1.1 record as a gzip member; `first`: page_id and url of the response with this payload, None for a response."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = http if revisit else http + payload
-    digest = sha1_base32(payload)
+    body = http if first else http + payload
+    sha = hashlib.sha1(payload)
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Target-URI: {''.join(c for c in url if c not in chr(13) + chr(10))}",
+        f"WARC-Type: {'revisit' if first else 'response'}",
+        f"WARC-Target-URI: {_one_line(url)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Record-ID: {record_id(page_id, url)}",
+        f"WARC-Record-ID: {record_id(page_id, url, sha.hexdigest(), repeat)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
-        f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(sha.digest()).decode()}",
         f"WARC-Block-Digest: sha1:{sha1_base32(body)}",
     ]
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
-    if revisit:
+    if first:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To-Page-ID: {refers_to}")
+        head.append(f"WARC-Refers-To: {record_id(*first, sha.hexdigest())}")
+        head.append(f"WARC-Refers-To-Target-URI: {_one_line(first[1])}")
+        head.append(f"WARC-Refers-To-Date: {DATE}")
+        head.append(f"WARC-Refers-To-Page-ID: {first[0]}")
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0)
 
 
@@ -111,46 +120,48 @@ def decode_records(stream) -> Iterator[tuple]:
 
 
 def find_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, sha, refers_to: the pages whose payload an earlier page_id has, by SHA-1 and that page."""
+    """page_id, sha, refers_to, refers_url: the pages whose payload an earlier page_id has, by SHA-1, with that page."""
     payload = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size"))
-    first = keyed.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    url = F.coalesce("url", F.lit(""))
+    keyed = pages.select("page_id", url.alias("url"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = keyed.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("n"))
     again = first.where("n > 1").drop("n")
-    return keyed.join(again, ["sha", "size"]).where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
+    met = keyed.join(again, ["sha", "size"]).where("page_id > first.page_id")
+    return met.select("page_id", "sha", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")).distinct()
 
 
-def shard_bounds(pages: DataFrame, shards: int) -> list[int]:
-    """At most shards - 1 ids that cut the table into ranges of about one size, from at most MAX_SAMPLE ids."""
-    n = pages.count()
+def shard_bounds(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """Ids that cut the table into ranges of about `shard_bytes` of payload, from at most about MAX_SAMPLE ids."""
+    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length("html"))).first()
+    shards = max(1, -(-(size or 0) // shard_bytes))
     share = max(1, n // min(MAX_SAMPLE, 32 * shards))
     some = pages.select("page_id").where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0))
     ids = sorted(r[0] for r in some.collect())
     return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: int = 16 << 20, shards: int | None = None) -> DataFrame:
-    """Write `pages` (page_id, url, html) under `path`; returns the manifest, which is committed when this returns.
-
-    `shards`: how many ranges; the session's number of shuffle partitions if not given.
-    """
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: int = 16 << 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write `pages` (page_id, url, html) under `path`; returns the manifest, which is committed when this returns."""
     spark = pages.sparkSession
     data, manifest = f"{path}/data", f"{path}/manifest"
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = spark.sparkContext.broadcast(np.array(shard_bounds(pages, shards), np.int64))
-
-    @F.pandas_udf("int")
-    def shard_of(page_id: pd.Series) -> pd.Series:
-        ids = page_id.fillna(np.iinfo(np.int64).min).astype(np.int64)
-        return pd.Series(np.searchsorted(bounds.value, ids, "right").astype(np.int32))
-
-    rows = pages.select(
-        "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("refers_to")
-    )
+    found = np.array(shard_bounds(pages, shard_bytes), np.int64)
+    bounds = spark.sparkContext.broadcast(found)
+
+    @F.arrow_udf("int")
+    def shard_of(page_id: pa.Array) -> pa.Array:
+        # null ids, which would make doubles of the others, go first
+        ids = page_id.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(bounds.value, ids, "right").astype(np.int32))
+
+    none = {"sha": F.lit(None).cast("string"), "refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")}
+    page_id = F.col("page_id").cast("long").alias("page_id")
+    rows = pages.select(page_id, F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumns(none)
     # a decision travels as a row in front of its page, so that pages move once
-    decided = find_revisits(pages, least_bytes).select("page_id", F.lit("").alias("url"), F.lit("").alias("html"), "sha", "refers_to")
+    decided = find_revisits(pages, least_bytes).select(page_id, F.lit("").alias("url"), F.lit("").alias("html"), *none)
     placed = rows.unionByName(decided).withColumn("shard", shard_of(F.col("page_id")))
     order = ["shard", "page_id", F.col("sha").isNull(), "url", "html"]
-    ordered = placed.repartitionByRange(shards, "shard").sortWithinPartitions(*order)
+    ordered = placed.repartitionById(len(found) + 1, F.col("shard")).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -158,7 +169,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: in
         attempt = TaskContext.get().taskAttemptId()
         store, root = _filesystem(data)
         buffer, shard, number, records = io.BytesIO(), -1, 0, 0
-        known: tuple = (None, {})
+        page, firsts, met, last, repeat = None, {}, set(), None, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal buffer, number, records
@@ -179,25 +190,34 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: in
             buffer, number, records = io.BytesIO(), number + 1, 0
             return pa.RecordBatch.from_pylist([row])
 
+        def all_met() -> None:
+            if len(met) < len(firsts):
+                raise ValueError(f"a decision about page {page} has found no such payload")
+
         for batch in batches:
-            columns = (batch.column(c) for c in ("page_id", "url", "html", "sha", "refers_to", "shard"))
-            for page_id, url, html, sha, refers_to, own in zip(*columns, strict=True):
-                page = page_id.as_py()
-                if page != known[0]:
-                    known = (page, {})
+            columns = (batch.column(c) for c in ("page_id", "url", "html", "sha", "refers_to", "refers_url", "shard"))
+            for page_id, url, html, sha, refers_to, refers_url, own in zip(*columns, strict=True):
+                if page_id.as_py() != page:
+                    all_met()
+                    page, firsts, met, last = page_id.as_py(), {}, set(), None
                 if sha.is_valid:
-                    known[1][sha.as_py()] = refers_to.as_py()
+                    firsts[sha.as_py()] = (refers_to.as_py(), refers_url.as_py())
                     continue
                 if own.as_py() != shard:
                     if records:
                         yield flush()
                     shard, number = own.as_py(), 0
-                payload = html.as_buffer().to_pybytes()
-                first = known[1].get(hashlib.sha1(payload).hexdigest()) if known[1] else None
-                buffer.write(encode_record(page, url.as_py(), payload, first))
+                payload, target = html.as_buffer().to_pybytes(), url.as_py()
+                repeat = repeat + 1 if (target, payload) == last else 0
+                last = (target, payload)
+                key = hashlib.sha1(payload).hexdigest() if firsts else None
+                if first := firsts.get(key):
+                    met.add(key)
+                buffer.write(encode_record(page, target, payload, first, repeat))
                 records += 1
                 if buffer.tell() >= roll_bytes:
                     yield flush()
+        all_met()
         if records:
             yield flush()
 

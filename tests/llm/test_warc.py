@@ -54,3 +54,35 @@ def test_edge_rows(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
     kinds = {(r.page_id, r.record_type) for r in warc.round_trip(frame, least_bytes=5).collect()}
     assert (5, "response") in kinds and (8, "response") in kinds
+
+
+def test_large_ids_beside_null_ones(spark):
+    rows = [(2**60 + i, f"http://h/{i}", "one payload", "x", 1) for i in range(400)] + [(None, "http://n/", "one payload", "x", 1)]
+    frame = spark.createDataFrame(rows, PAGES).repartition(5)
+    for size in (warc.SHARD_BYTES, 500):
+        got = warc.read_warc(spark, _written(frame, size))
+        assert found(got) == plain(rows)
+        assert got.where("record_type = 'response'").count() == 2
+
+
+def _written(frame, shard_bytes):
+    path = warc.scratch_path(frame.sparkSession, "warc")
+    warc.write_warc(frame, path, shard_bytes=shard_bytes)
+    return path
+
+
+def test_shards_follow_the_size_and_revisits_name_their_record(spark):
+    rows = [(i, f"http://h/{i % 4}", "same" if i % 3 else "x" * 100, "x", 1) for i in range(300)] + [(1, "http://h/1", "same", "x", 1)] * 2
+    frame = spark.createDataFrame(rows, PAGES)
+    path = _written(frame, 1000)
+    assert spark.read.parquet(f"{path}/manifest").selectExpr("substring(file, 6, 6)").distinct().count() > 5
+    heads = []
+    for r in spark.read.parquet(f"{path}/manifest").collect():
+        text = gzip.open(f"{path.removeprefix('file://')}/data/{r.file}").read().decode()
+        for record in text.split("WARC/1.1\r\n")[1:]:
+            heads.append(dict(line.split(": ", 1) for line in record.split("\r\n\r\n")[0].split("\r\n")))
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(ids) == len(set(ids)) == len(rows)
+    uris = {h["WARC-Record-ID"]: h["WARC-Target-URI"] for h in heads if h["WARC-Type"] == "response"}
+    again = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert again and all(uris[h["WARC-Refers-To"]] == h["WARC-Refers-To-Target-URI"] for h in again)
