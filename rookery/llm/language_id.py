@@ -3,14 +3,24 @@
 For each language a suffix automaton of labelled text is built. A text is cut greedily into phrases,
 each the longest that occurs in the language's text; phrases times the bits that name a place in that
 text, over the length, estimate the cross entropy, and the language with the least wins (ties: the
-first by name). Text is lower-cased, letters count, all else is one space.
+first by name). Text is lower-cased, letters of any script count, all else is one space.
 
-Fitting reads a bounded sample: of each language about SAMPLE_DOCS labelled documents picked by a
-hash of doc_id, of each up to SAMPLE_PART characters, SAMPLE_CHARS in all. Predicting reads every
-whole text; phrases start anew every BLOCK characters, so that all blocks are parsed side by side.
+Fitting reads a bounded sample of labelled rows: of each language at most SAMPLE_DOCS whole texts, picked
+by a hash, as many as it takes to reach SAMPLE_CHARS characters; texts of over LONGEST characters are
+taken only where there are no others (a single one longer than SAMPLE_CHARS gives that many). The
+sample of a language doesn't depend on how many others there are; over MAX_LANGUAGES are refused.
+
+As many characters again of other labelled texts of the language, where there are some, tell its usual
+rate of bits a character: `keep_identified` rejects a text that takes FOREIGN times as many in its best
+language (with PHRASES phrases left out, so that short texts stay): it is in no language that was learned.
+
+Predicting reads every whole text. All blocks of BLOCK characters of all texts are parsed side by side,
+each as if a phrase began there; then each block that a phrase reaches into is parsed again from the
+state in which the block before has ended, until it meets the states of its first parse. So the phrases
+are those of the whole text.
 
 Scale: two narrow scans to fit, then a map over the documents; nothing but the sample is shuffled.
-The automata are broadcast: their size is bounded by MAX_CELLS whatever the corpus.
+The automata are broadcast: about 2 MB a language, whatever the corpus.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or nothing is learned;
 rows with null doc_id are training rows; rows with null lang teach nothing; repeated rows get one
@@ -19,7 +29,6 @@ answer; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,164 +37,287 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 64
-SAMPLE_PART = 1000
-SAMPLE_CHARS = 16_000
-LETTERS = 61
+SAMPLE_CHARS = 20_000
+LONGEST = 5_000
+MAX_LANGUAGES = 400
+FOREIGN = 2.0
+PHRASES = 3
 BLOCK = 1024
-MAX_CELLS = 1 << 25
+STRIDE = 64
+CHUNK = 1 << 22
+ROWS = 4096
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
+_CODE, _STATE = np.uint64(16), np.uint64(24)  # bits of a letter's number and of a state's
+_EMPTY = np.uint64((1 << 64) - 1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)), F.lit(-1))
 
 
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Moves of each state; state 0 is the root."""
+    moves: list[dict[int, int]] = [{}]
+    link, longest = [-1], [0]
+    end = 0
+    for c in codes:
+        new = len(moves)
+        moves.append({})
+        longest.append(longest[end] + 1)
+        link.append(0)
+        at = end
+        while at != -1 and c not in moves[at]:
+            moves[at][c] = new
+            at = link[at]
+        if at != -1:
+            onto = moves[at][c]
+            if longest[onto] == longest[at] + 1:
+                link[new] = onto
+            else:
+                copy = len(moves)
+                moves.append(dict(moves[onto]))
+                longest.append(longest[at] + 1)
+                link.append(link[onto])
+                link[onto] = link[new] = copy
+                while at != -1 and moves[at].get(c) == onto:
+                    moves[at][c] = copy
+                    at = link[at]
+        end = new
+    return moves
+
+
 class Automata:
-    """One dense transition table over the suffix automata of all languages."""
+    """The suffix automata of all languages; their moves are one hash table from (state, letter) to state."""
 
     def __init__(self, samples: dict[str, str]) -> None:
+        if len(samples) > MAX_LANGUAGES:
+            raise ValueError(f"at most {MAX_LANGUAGES} languages in one model")
         self.languages = sorted(samples)
-        room = MAX_CELLS // (2 * (LETTERS + 2) * max(1, len(samples)))
-        texts = {lang: samples[lang].lower()[: min(SAMPLE_CHARS, room)] for lang in self.languages}
-        common = Counter(c for t in texts.values() for c in t if c.isalpha()).most_common(LETTERS)
-        self.letters = sorted(c for c, _ in common)
-        self.width = len(self.letters) + 2
+        lowered = {lang: samples[lang].lower() for lang in self.languages}
+        #: All letters of the samples; a letter that none of them has is a phrase by itself in every language.
+        self.letters = sorted({c for t in lowered.values() for c in t if c.isalpha()})[: (1 << int(_CODE)) - 2]
         self._codes: np.ndarray | None = None
-        tables, roots, bits, base = [], [], [], 0
-        for lang in self.languages:
-            codes = self.encode(texts[lang])[0]
-            table = self._table(codes.tolist()) + np.int32(0)
-            table += base << 2
-            tables.append(table)
+        states, chars, onto, roots, bits, base = [], [], [], [], [], 0
+        self.first = np.full((len(self.languages), len(self.letters) + 2), -1, np.int64)
+        for k, lang in enumerate(self.languages):
+            codes = self.encode(lowered[lang])[0]
+            moves = suffix_automaton(codes.tolist())
+            counts = [len(m) for m in moves]
+            states.append(base + np.repeat(np.arange(len(moves)), counts))
+            chars.append(np.fromiter((c for m in moves for c in m), np.int64, sum(counts)))
+            onto.append(base + np.fromiter((t for m in moves for t in m.values()), np.int64, sum(counts)))
+            for c, to in moves[0].items():
+                self.first[k, c] = base + to
             roots.append(base)
             bits.append(np.log2(max(2, len(codes))))
-            base += len(table)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.roots, self.bits = np.array(roots, np.int32), np.array(bits)
+            base += len(moves)
+        if base >= 1 << int(_STATE):
+            raise ValueError("the samples are too long for one model")
+        self.roots, self.bits = np.array(roots, np.int64), np.array(bits)
+        self.usual = np.full(len(self.languages), np.inf)
+        if self.languages:
+            self._store(*(np.concatenate(x).astype(np.uint64) for x in (states, chars, onto)))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_codes": None}
 
+    def _store(self, state: np.ndarray, char: np.ndarray, onto: np.ndarray) -> None:
+        """Open addressing with room for four times the moves: each slot holds state, letter and next state."""
+        entry = (((state << _CODE) | char) << _STATE) | onto
+        size = int(4 * len(entry) + 2).bit_length()
+        self.shift, self.mask = np.uint64(64 - size), (1 << size) - 1
+        self.slots = np.full(1 << size, _EMPTY)
+        slot = (((entry >> _STATE) * _MIX) >> self.shift).astype(np.int64)
+        while len(entry):
+            free = np.flatnonzero(self.slots[slot] == _EMPTY)
+            won = free[np.unique(slot[free], return_index=True)[1]]
+            self.slots[slot[won]] = entry[won]
+            left = np.ones(len(entry), bool)
+            left[won] = False
+            entry, slot = entry[left], (slot[left] + 1) & self.mask
+
+    def _move(self, state: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where there is one."""
+        key = (state << _CODE) | char
+        slot = ((key * _MIX) >> self.shift).view(np.int64)
+        entry = self.slots[slot]
+        hit = (entry >> _STATE) == key
+        at = np.flatnonzero(~hit & (entry != _EMPTY))
+        while len(at):
+            slot[at] = (slot[at] + 1) & self.mask
+            held = self.slots[slot[at]]
+            same = (held >> _STATE) == key[at]
+            entry[at], hit[at] = held, same
+            at = at[~same & (held != _EMPTY)]
+        return entry & np.uint64((1 << int(_STATE)) - 1), hit
+
     def encode(self, text: str) -> tuple[np.ndarray, bool]:
-        """Codes with runs of other than letters as one space, and whether there is a letter."""
+        """Letters' numbers with runs of other than letters as one space, and whether there is a letter."""
         if self._codes is None:
-            points = np.arange(0x110000)
-            letter = np.fromiter((chr(p).isalpha() for p in points), bool, len(points))
-            self._codes = np.where(letter, _OTHER, _SPACE).astype(np.uint8)
-            for k, c in enumerate(self.letters):
-                self._codes[ord(c)] = k + 2
+            letter = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
+            self._codes = np.where(letter, _OTHER, _SPACE).astype(np.uint16)
+            self._codes[[ord(c) for c in self.letters]] = np.arange(len(self.letters)) + 2
         codes = self._codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
         space = codes == _SPACE
         keep = np.ones(len(codes), bool)
         keep[1:] = ~(space[1:] & space[:-1])
         return codes[keep], not space.all()
 
-    def _table(self, codes: list[int]) -> np.ndarray:
-        """next state * 4 + phrases ended, for each state of the text's suffix automaton and each code."""
-        moves: list[dict[int, int]] = [{}]
-        link, longest = [-1], [0]
-        end = 0
-        for c in codes:
-            if c == _OTHER:
-                end = 0
-                continue
-            if (known := moves[end].get(c)) is not None and longest[known] == longest[end] + 1:
-                end = known
-                continue
-            new = len(moves)
-            moves.append({})
-            longest.append(longest[end] + 1)
-            link.append(0)
-            at = end
-            while at != -1 and c not in moves[at]:
-                moves[at][c] = new
-                at = link[at]
-            if at != -1:
-                onto = moves[at][c]
-                if longest[onto] == longest[at] + 1:
-                    link[new] = onto
-                else:
-                    copy = len(moves)
-                    moves.append(dict(moves[onto]))
-                    longest.append(longest[at] + 1)
-                    link.append(link[onto])
-                    link[onto] = link[new] = copy
-                    while at != -1 and moves[at].get(c) == onto:
-                        moves[at][c] = copy
-                        at = link[at]
-            end = new
-        table = np.zeros((len(moves), self.width), np.int32)
-        start = np.array([moves[0].get(c, 0) for c in range(self.width)])
-        # a failing code ends the phrase and starts the next; one that is nowhere is a phrase by itself
-        table[:] = start * 4 + 1 + (start == 0)
-        table[0] = start * 4 + (start == 0)
-        for state, move in enumerate(moves):
-            for c, to in move.items():
-                table[state, c] = to * 4
-        return table
-
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(languages, texts) numbers of phrases."""
-        counts = np.zeros((len(self.languages), len(texts)), np.int64)
-        owner, start, length = [], [], []
+        many = len(self.languages)
+        owner, begin, length = [], [], []
         at = 0
         for k, t in enumerate(texts):
-            for s in range(0, len(t), BLOCK):
-                owner.append(k)
-                start.append(at + s)
-                length.append(min(BLOCK, len(t) - s))
+            starts = range(0, len(t), BLOCK)
+            owner += [k] * len(starts)
+            begin += [at + s for s in starts]
+            length += [min(BLOCK, len(t) - s) for s in starts]
             at += len(t)
         if not owner:
-            return counts
-        flat = np.concatenate(texts).astype(np.int32)
-        order = np.argsort(-np.array(length), kind="stable")
-        owner, start, length = (np.array(x)[order] for x in (owner, start, length))
-        state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        ended = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-length, -np.arange(length[0]), "left")
-        for j in range(length[0]):
-            n = active[j]
-            step = self.table[state[:, :n] * self.width + flat[start[:n] + j]]
-            ended[:, :n] += step & 3
-            state[:, :n] = step >> 2
-        ended += state != self.roots[:, None]
-        for lang in range(len(self.languages)):
-            counts[lang] = np.bincount(owner, weights=ended[lang], minlength=len(texts))
-        return counts
+            return np.zeros((many, len(texts)), np.int64)
+        # a lane is a block in a language: lane = block * many + language
+        lanes = _Lanes(np.append(np.concatenate(texts), np.zeros(STRIDE, np.uint16)), np.repeat(begin, many), np.repeat(length, many), np.tile(self.roots, len(owner)))
+        owner = np.array(owner)
+        again = np.repeat(np.append(False, owner[1:] == owner[:-1]), many)
+        self._parse(lanes, np.arange(len(lanes.root)), False)
+        lane = np.flatnonzero(again)
+        lanes.enter[lane] = lanes.final[lane - many]
+        lane = lane[lanes.enter[lane] != lanes.root[lane]]
+        follows = np.append(again[many:], np.zeros(many, bool))
+        while len(lane):
+            lane = self._parse(lanes, lane, True)
+            lane = lane[follows[lane]]
+            lanes.enter[lane + many] = lanes.final[lane]
+            lane = lane + many
+        # a phrase that the text's end cuts counts as well
+        counts = lanes.total + (~follows & (lanes.final != lanes.root))
+        return np.stack([np.bincount(owner, weights=counts[k::many], minlength=len(texts)) for k in range(many)]).astype(np.int64)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def _parse(self, lanes: _Lanes, lane: np.ndarray, known: bool) -> np.ndarray:
+        """Parse some lanes from the states in which they are entered; returns those whose last state is another than before.
+
+        `known`: they were parsed before; one that meets its former state at a stop goes on as it did then.
+        """
+        lane = lane[np.argsort(-lanes.length[lane], kind="stable")]
+        asked, length, begin, root = lane, lanes.length[lane], lanes.begin[lane], lanes.root[lane].astype(np.uint64)
+        state, ended = lanes.enter[lane].astype(np.uint64), np.zeros(len(lane), np.int32)
+        first, width = self.first.ravel(), self.first.shape[1]
+        offset = (lane % len(self.languages)) * width
+        stop = 0
+        while len(lane):
+            steps = np.arange(stop * STRIDE, min((stop + 1) * STRIDE, length[0]))
+            chars = np.ascontiguousarray(lanes.flat[begin[:, None] + steps].T)
+            for char, k in zip(chars, np.searchsorted(-length, -steps, "left"), strict=True):
+                here, char = state[:k], char[:k]
+                onto, hit = self._move(here, char)
+                if len(failed := np.flatnonzero(~hit)):
+                    # the phrase ends and the next begins; a letter that is nowhere is a phrase by itself
+                    inside = here[failed] != root[failed]
+                    start = first[offset[failed] + char[failed]]
+                    nowhere = start < 0
+                    ended[failed] += inside.astype(np.int32) + nowhere
+                    onto[failed] = np.where(nowhere, root[failed], start)
+                state[:k] = onto
+            k = np.searchsorted(-length, -stop * STRIDE, "left")
+            done = length <= (stop + 1) * STRIDE
+            if known:
+                met = np.zeros(len(lane), bool)
+                met[:k] = lanes.states[stop, lane[:k]] == state[:k]
+                at = lane[met]
+                more = ended[met] - lanes.ended[stop, at]
+                lanes.total[at] += more
+                lanes.ended[stop:, at] += more
+            else:
+                met = np.zeros(len(lane), bool)
+            lanes.states[stop, lane[~met]], lanes.ended[stop, lane[~met]] = state[~met], ended[~met]
+            over = done & ~met
+            lanes.final[lane[over]], lanes.total[lane[over]] = state[over], ended[over]
+            lanes.changed[lane[met]], lanes.changed[lane[over]] = False, True
+            stay = ~(met | done)
+            lane, length, begin, root, state, ended, offset = (x[stay] for x in (lane, length, begin, root, state, ended, offset))
+            stop += 1
+        return asked[lanes.changed[asked]]
+
+    def costs(self, coded: list[np.ndarray]) -> np.ndarray:
+        """(languages, texts) bits that the texts take."""
+        parts, some, held = [np.zeros((len(self.languages), 0), np.int64)], [], 0
+        for codes in coded:
+            some.append(codes)
+            held += len(codes)
+            if held >= CHUNK:
+                parts.append(self.phrases(some))
+                some, held = [], 0
+        if some:
+            parts.append(self.phrases(some))
+        return np.concatenate(parts, axis=1) * self.bits[:, None]
+
+    def calibrate(self, others: dict[str, list[str]]) -> None:
+        """Learn the usual bits a character from labelled texts that the automata do not hold."""
+        for k, lang in enumerate(self.languages):
+            coded = [self.encode(t)[0] for t in others.get(lang, [])]
+            if chars := sum(map(len, coded)):
+                self.usual[k] = self.costs(coded)[k].sum() / chars
+
+    def measure(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Of each text the language, its score, and whether it is as that language's texts are."""
         coded = [self.encode(t or "") for t in texts]
-        if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        bits = self.phrases([c for c, _ in coded]) * self.bits[:, None]
-        best = bits.argmin(axis=0)
-        share = 1 / np.exp2(np.minimum(0, bits.min(axis=0) - bits)).sum(axis=0)
+        if not self.languages or not texts:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [has for _, has in coded]
+        bits = self.costs([c for c, _ in coded])
+        best, least = bits.argmin(axis=0), bits.min(axis=0)
+        share = 1 / np.exp2(np.minimum(0, least - bits)).sum(axis=0)
+        chars = np.array([len(c) for c, _ in coded])
+        alike = least - PHRASES * self.bits[best] <= FOREIGN * self.usual[best] * np.maximum(chars, 1)
         lang = [self.languages[b] if has else UNKNOWN for b, (_, has) in zip(best, coded, strict=True)]
-        return lang, [float(s) if has else 0.0 for s, (_, has) in zip(share, coded, strict=True)]
+        score = [float(s) if has else 0.0 for s, (_, has) in zip(share, coded, strict=True)]
+        return lang, score, [bool(a) and has for a, (_, has) in zip(alike, coded, strict=True)]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.measure(texts)[:2]
+
+
+class _Lanes:
+    """Blocks of text under parsing, with the states at every STRIDE characters."""
+
+    def __init__(self, flat: np.ndarray, begin: np.ndarray, length: np.ndarray, root: np.ndarray) -> None:
+        self.flat, self.begin, self.length, self.root = flat, begin, length, root  # flat: with STRIDE more at the end
+        self.enter, self.final, self.total = root.copy(), root.copy(), np.zeros(len(root), np.int32)
+        self.changed = np.zeros(len(root), bool)
+        stops = -(-int(length.max()) // STRIDE)
+        self.states, self.ended = (np.full((stops, len(root)), -1, np.int32) for _ in range(2))
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Automata:
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Automata:
     """Automata of all languages of `labelled` (doc_id, text, lang)."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Automata({})
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(4.0 * sample_docs / n)).otherwise(share)
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    picked = rows.where(F.pmod(order, F.lit(1_000_000)) / 1e6 < share)
-    picked = picked.select("lang", order.alias("place"), F.substring("text", 1, SAMPLE_PART).alias("part"))
-    first = picked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "part"))).where(F.col("n") <= sample_docs)
-    parts: dict[str, list] = {lang: [] for lang in counts}
-    for r in first.collect():
-        parts[r["lang"]].append((r["n"], r["part"]))
-    return Automata({lang: " ".join(p for _, p in sorted(some)) for lang, some in parts.items()})
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"at most {MAX_LANGUAGES} languages in one model")
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * sample_docs / n))))
+    order = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    picked = rows.where(F.pmod(order, F.lit(1_000_000_000)) / 1e9 < share[F.col("lang")])
+    long = F.char_length("text") > LONGEST
+    picked = picked.select("lang", "text", long.alias("long"), order.alias("place"), F.char_length("text").alias("n"))
+    by = Window.partitionBy("lang").orderBy("long", "place", "text")
+    placed = picked.withColumns({"k": F.row_number().over(by), "upto": F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1))})
+    before = F.coalesce("upto", F.lit(0))
+    wanted = (F.col("k") <= sample_docs) & (before < 2 * sample_chars) & ((F.col("k") == 1) | ~F.col("long"))
+    text = F.when(F.col("long"), F.substring("text", 1, sample_chars)).otherwise(F.col("text"))
+    texts: dict[str, list] = {lang: [] for lang in counts}
+    for r in placed.where(wanted).select("lang", "k", before.alias("before"), text.alias("text")).collect():
+        texts[r["lang"]].append((r["k"], r["before"] < sample_chars, r["text"]))
+    model = Automata({lang: " ".join(t for _, first, t in sorted(some) if first) for lang, some in texts.items()})
+    model.calibrate({lang: [t for _, first, t in sorted(some) if not first] for lang, some in texts.items()})
+    return model
 
 
 def keep_identified(docs: DataFrame, model: Automata) -> DataFrame:
-    """The rows of `docs`, whole, whose text is of some language: all but those that `identify` calls `und`.
+    """The rows of `docs`, whole, whose text is in a learned language: `und` and foreign texts go.
 
     A model that has learned nothing can't tell languages: then all texts with a letter stay.
     """
@@ -194,14 +326,9 @@ def keep_identified(docs: DataFrame, model: Automata) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                some = b.slice(at, 1024)
-                texts = some.column("text").to_pylist()
-                if own.languages:
-                    keep = [x != UNKNOWN for x in own.predict(texts)[0]]
-                else:
-                    keep = [own.encode(t or "")[1] for t in texts]
-                yield some.filter(pa.array(keep, pa.bool_()))
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                yield some.filter(pa.array(own.measure(some.column("text").to_pylist())[2], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
 
@@ -213,8 +340,8 @@ def identify(docs: DataFrame, model: Automata) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                some = b.slice(at, 1024)
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
                 lang, score = own.predict(some.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 

@@ -1,6 +1,8 @@
 import zlib
+from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rookery.llm import language_id as li
@@ -20,13 +22,18 @@ def greedy(sample, text):
     return count
 
 
-def test_phrases_match_brute_force():
+@pytest.mark.parametrize(("block", "stride"), [(li.BLOCK, li.STRIDE), (16, 4)])
+def test_phrases_match_brute_force(monkeypatch, block, stride):
+    """Whole texts, phrases that reach over blocks, blocks that lie within one phrase."""
+    monkeypatch.setattr(li, "BLOCK", block)
+    monkeypatch.setattr(li, "STRIDE", stride)
     rng = np.random.default_rng(1)
-    for _ in range(30):
+    for _ in range(40):
         samples = {lang: "".join(rng.choice(list("abc "), rng.integers(1, 80))) for lang in "xy"}
         samples = {k: " ".join(("a" + v).split()) for k, v in samples.items()}
         model = li.Automata(samples)
         texts = [" ".join("".join(rng.choice(list("abcd "), rng.integers(0, 200))).split()) for _ in range(6)]
+        texts += [samples["x"] * 4, samples["y"][: len(samples["y"]) // 2] + samples["x"], "a" * 3000]
         got = model.phrases([model.encode(t)[0] for t in texts])
         known = set("".join(samples.values()))
         plain = ["".join(c if c in known or c == " " else "?" for c in t) for t in texts]
@@ -38,8 +45,12 @@ def test_held_out_accuracy(spark):
     held = li.fold_of(F.col("doc_id"), 3) == 1
     got = li.identify(docs, li.fit(docs.where(~held))).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == docs.count()
-    right = [r.lang_pred == r.lang for r in got if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
-    assert sum(right) > 0.97 * len(right)
+    right = defaultdict(list)
+    for r in got:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 == 1:
+            right[r.lang].append(r.lang_pred == r.lang)
+    print({lang: (len(x), sum(x) / len(x)) for lang, x in right.items()})
+    assert all(sum(x) >= 0.97 * len(x) for x in right.values())
     assert all(0 <= r.score <= 1 for r in got)
 
 
@@ -55,3 +66,42 @@ def test_edge_rows(spark):
     assert li.identify(empty, li.fit(empty)).collect() == []
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in li.identify(docs, li.fit(unlabelled)).collect()} == {"und"}
+
+
+def _invented(rng, letters, words=300):
+    """A language: its own words of its letters."""
+    own = ["".join(rng.choice(letters, rng.integers(2, 7))) for _ in range(words)]
+    return lambda n: " ".join(rng.choice(own, n))
+
+
+def test_many_scripts_and_languages(spark):
+    rng = np.random.default_rng(2)
+    ranges = {"han1": (0x4E00, 400), "han2": (0x6000, 400), "hangul": (0xAC00, 400), "kana": (0x3041, 80), "cyrl": (0x430, 32), "grek": (0x3B1, 24)}
+    speak = {k: _invented(rng, [chr(a + i) for i in range(n)]) for k, (a, n) in ranges.items()}
+    speak |= {f"l{k:02d}": _invented(rng, list("abcdefghijklmnopqrstuvwxyz"), 60) for k in range(94)}
+    rows, n = [], 0
+    for lang, say in speak.items():
+        for k in range(9):
+            rows.append((n, say(80), lang if k < 6 else None, lang))
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")
+    got = {r.doc_id: r.lang_pred for r in li.identify(docs, li.fit(docs)).collect()}
+    assert len(speak) == 100 and all(got[d] == truth for d, _, _, truth in rows)
+
+
+def test_sample_does_not_shrink_with_languages(spark):
+    say = _invented(np.random.default_rng(3), list("abcdefgh"))
+    rows = [(k, say(400), f"l{k % 40}") for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many, one = li.fit(docs), li.fit(docs.where("lang = 'l7'"))
+    assert many.bits[many.languages.index("l7")] == one.bits[0] > np.log2(li.SAMPLE_CHARS)
+
+
+def test_foreign_texts_go(spark):
+    rng = np.random.default_rng(4)
+    say = {"one": _invented(rng, list("abcdefghijkl")), "two": _invented(rng, list("mnopqrstuvwx"))}
+    rows = [(k, say[lang](200), lang) for k in range(60) for lang in say]
+    rows += [(1000, say["one"](50), None), (1001, say["two"](2), "two"), (1002, "".join(rng.choice(list("абвгде "), 300)), None), (1003, "".join(rng.choice(list("abcdefghijklmnopqrstuvwx "), 900)), "one"), (1004, "12", "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in li.keep_identified(docs, li.fit(docs)).collect()}
+    assert kept == {*range(60), 1000, 1001}
