@@ -29,7 +29,7 @@ def plain_kept(texts, similarity=0.8):
 
 
 def test_near_copies_match_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"]).localCheckpoint()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"]).cache()
     texts = {r.doc_id: r.text for r in docs.collect()}
     want = plain_kept(texts)
     assert len(texts) - len(want) >= 5
