@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rookery.llm import hmm
@@ -34,7 +35,7 @@ def scored(frame, **options):
 
 def test_base_scores_and_gain(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    got = scored(docs.repartition(3), passes=5, vocabulary=3000)
+    got = scored(docs.repartition(3), passes=5, vocabulary=3000, known=5000)
     want = base_scores([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(repr((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))) for r in got) == want
     held = [r for r in got if r.held_out]
@@ -59,16 +60,44 @@ def test_forward_recursion_and_counts():
             for a, symbol in zip(path, s, strict=True):
                 emits[symbol, a] += w
     got = hmm.expected_counts(model, [np.array(s, np.uint16) for s in sequences])
-    for x, y in zip(got, (starts, moves, emits), strict=True):
+    for x, y in zip(got[:3], (starts, moves, emits), strict=True):
         assert np.allclose(x, y, atol=1e-4)
+    assert math.isclose(got[3], hmm.log10_likelihood(model, sequences).sum(), rel_tol=1e-6)
+    assert math.isclose(got[0].sum(), len(sequences), rel_tol=1e-5)  # a start a sequence, however long it is
 
 
-def test_edge_rows(spark):
+def test_parts_of_any_size_give_the_same():
+    rng = np.random.default_rng(4)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(6), 3).T)
+    sequences = [rng.integers(0, 6, n).astype(np.uint16) for n in rng.integers(1, 400, 50)]
+    whole = hmm.expected_counts(model, sequences)
+    parts = [hmm.expected_counts(model, [sequences[i] for i in some]) for some in hmm.in_steps(sequences, 700)]
+    assert len(parts) > 5 and all(np.allclose(sum(p[k] for p in parts), whole[k], rtol=1e-4) for k in range(4))
+
+
+@pytest.mark.parametrize("known", [2, hmm.KNOWN])
+def test_edge_rows(spark, known):
     rows = [(1, None), (2, ""), (3, "A a\x0bb  c"), (4, "same words here"), (4, "same words here"), (None, "é x"), (None, "é x"), (6, "w " * 70000), (8, "never seen")]
-    got = scored(spark.createDataFrame([(*r, 1, "x", 1) for r in rows], DOCS), passes=2, vocabulary=2)
+    got = scored(spark.createDataFrame([(*r, 1, "x", 1) for r in rows], DOCS), passes=2, vocabulary=2, known=known)
     assert sorted(repr((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))) for r in got) == base_scores(rows)
     assert all(np.isfinite(r.score) for r in got)
     assert scored(spark.createDataFrame([], DOCS)) == []
     lone = [d for d in range(50) if zlib.crc32(str(d).encode()) % 5 == 1][:2]
     got = scored(spark.createDataFrame([(d, "only held out", 1, "x", 1) for d in lone], DOCS))
     assert [(r.n_known, r.train_tokens) for r in got] == [(0, 0)] * 2
+
+
+def test_likelihood_rises_and_states_beat_one(spark, monkeypatch):
+    """At production parameters: no pass falls, and held-out texts are likelier than by a unigram of the same symbols."""
+    models = []
+    real = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: models.append(real(*a)) or models[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    held = {}
+    for states in (hmm.STATES, 1):
+        held[states] = sum(r.score for r in scored(docs.repartition(8), states=states) if r.held_out)
+    history = models[0].history
+    assert len(history) == hmm.PASSES and all(b >= a - 1e-6 * abs(a) for a, b in zip(history, history[1:], strict=False))
+    assert history[-1] > 0.99 * history[0]
+    print(history, held)
+    assert held[hmm.STATES] > held[1]
