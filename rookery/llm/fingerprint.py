@@ -7,13 +7,15 @@ sketch. The threshold doesn't depend on the document: the sketch of a union is t
 even between a page and a book; the share that both have estimates their resemblance.
 
 Scale: sketches are a projection; nothing is shuffled. Pairing each document with the next one by
-doc_id deals documents into blocks of `BLOCK` consecutive ids (no more rows than that for unique
-ids, however many there are), and copies only the first document of each block to the block before.
+doc_id deals documents into blocks of about BLOCK ranks: doc_ids become ranks through BINS quantiles of
+the ids whose hash falls into a fixed share (at most about MAX_SAMPLE), so that sparse and hash-like ids
+make blocks as even as consecutive ones do. Texts move once, to their block. There are at most MAX_BLOCKS
+blocks, whose first ids are broadcast, and only the first document of each is copied to the block before.
 
 Defined results: a null text counts as empty; texts are lower-cased and split on ASCII white space;
 fewer words than a shingle are one shingle of them all; a text without words has the fingerprint "", which is
 like another such (1.0) and unlike all else (0.0); equal texts have equal fingerprints; rows with the
-same doc_id are ordered by text; a null doc_id comes first; a single row is its own next one; other
+same doc_id are ordered by text and share a block; a null doc_id comes first; a single row is its own next one; other
 columns are not read.
 """
 
@@ -27,6 +29,9 @@ from .common import ASCII_SPACE, materialise
 WORDS = 5
 FRACTION = 8
 BLOCK = 256
+MAX_BLOCKS = 1_000_000
+BINS = 1024
+MAX_SAMPLE = 500_000
 
 
 def words(text: Column) -> Column:
@@ -68,19 +73,46 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(both_empty, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+def rank_bounds(ids: DataFrame, n: int) -> list[int]:
+    """At most BINS + 1 quantiles of `ids` (rank), the least and the largest of the sample among them."""
+    share = max(1, n // MAX_SAMPLE)
+    found = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("rank"), F.lit(share)) == 0).select("rank").collect())
+    return sorted({found[(len(found) - 1) * k // BINS] for k in range(BINS + 1)}) if found else []
+
+
+def block_of(rank: Column, bounds: list[int], blocks: int) -> Column:
+    """The block of a rank, which never falls: its place between two bounds, interpolated."""
+    if len(bounds) < 2 or blocks < 2:
+        return F.lit(0).cast("long")
+    # first among every 32nd bound, then among those that follow
+    coarse = F.size(F.filter(F.array(*(F.lit(b) for b in bounds[::32])), lambda b: b <= rank))
+    groups = [bounds[k : k + 32] for k in range(0, len(bounds), 32)]
+    groups[-1] += [(1 << 63) - 1] * (32 - len(groups[-1]))
+    fine = F.element_at(F.array(*(F.array(*(F.lit(b) for b in g)) for g in groups)), F.greatest(coarse, F.lit(1)))
+    bin_ = (F.greatest(coarse, F.lit(1)) - 1) * 32 + F.size(F.filter(fine, lambda b: b <= rank)) - 1
+    bin_ = F.least(F.greatest(bin_, F.lit(0)), F.lit(len(bounds) - 2))
+    every = F.array(*(F.lit(b) for b in bounds))
+    low, high = F.get(every, bin_).cast("double"), F.get(every, bin_ + 1).cast("double")
+    inside = F.least(F.greatest((rank.cast("double") - low) / F.greatest(high - low, F.lit(1.0)), F.lit(0.0)), F.lit(0.999999))
+    return F.floor((bin_ + inside) * (blocks / (len(bounds) - 1)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, hashes, next_text, next_hashes: each document with the next by doc_id, the last with the first."""
-    rank = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    plain = rows.withColumns({"rank": rank, "block": F.floor(rank / BLOCK)})
-    rows = with_sketch(plain, "text", "hashes")
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rank.alias("rank"))
+    n = rows.count()
+    blocks = min(MAX_BLOCKS, max(1, n // BLOCK))
+    plain = rows.withColumn("block", block_of(F.col("rank"), rank_bounds(rows, n), blocks))
     firsts = materialise(plain.groupBy("block").agg(F.min("rank").alias("rank")), "fingerprint-blocks")
-    heads = plain.join(firsts, ["block", "rank"]).groupBy("block").agg(F.min("text").alias("text"))
+    # at most MAX_BLOCKS rows of two numbers
+    heads = plain.join(F.broadcast(firsts), ["block", "rank"]).groupBy("block").agg(F.min("text").alias("text"))
     heads = with_sketch(heads, "text", "hashes").select("block", F.struct("text", "hashes").alias("head"))
     heads = heads.join(_block_before(firsts.select("block")), "block").select(F.col("before").alias("block"), "head")
     order = Window.partitionBy("block").orderBy("rank", "text")
-    led = rows.withColumn("after", F.lead(F.struct("text", "hashes")).over(order)).join(heads, "block", "left")
+    led = with_sketch(plain, "text", "hashes").withColumn("after", F.lead(F.struct("text", "hashes")).over(order))
     after = F.coalesce("after", "head")
+    led = led.join(heads, "block", "left")
     return led.select("doc_id", "text", "hashes", after["text"].alias("next_text"), after["hashes"].alias("next_hashes"))
 
 
