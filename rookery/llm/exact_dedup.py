@@ -7,8 +7,10 @@ against each snapshot's filters shard by shard; only positives join that snapsho
 Texts of groups with more than one row are compared byte for byte.
 
 Scale: what is shuffled is one small row a distinct digest; whole texts move only for the byte
-check. Filters are sharded by digest, so the largest object in a task is one shard's filter and
-its share of the batch; nothing is broadcast. A hot text is counted by map-side partial aggregation.
+check, where the repeated digests' own filters screen them on the map side (up to SCREENED digests,
+whose filters have a known size and are broadcast; beyond that all texts are grouped). Filters are
+sharded by digest, so the largest object in a task is one shard's filter and its share of the batch. A
+hot text is counted by map-side partial aggregation, and its copies are compared before they move.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays
 (null doc_ids rank lowest and stay only if all are null); rows that repeat both doc_id and text are
@@ -22,11 +24,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import materialise
 
 SHARD_KEYS = 65536
-SALTS = 16
+SCREENED = 1 << 24
 FILTER_SCHEMA = "shard int, seed long, segment_length int, segment_count int, bits binary"
 
 
@@ -102,6 +105,17 @@ def _shard(key: Column, shards: int) -> Column:
     return F.pmod(F.shiftrightunsigned(key, 40), F.lit(shards)).cast("int")
 
 
+def build_filters(keys: DataFrame, shards: int) -> DataFrame:
+    """A row of FILTER_SCHEMA for each shard of `keys` (key)."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = build_filter(pdf["key"].to_numpy().view(np.uint64))
+        return pd.DataFrame([{"shard": pdf["shard"].iloc[0]} | made])
+
+    keyed = keys.select(_shard(F.col("key"), shards).alias("shard"), "key")
+    return materialise(keyed.groupBy("shard").applyInPandas(build, FILTER_SCHEMA), "dedup-filters")
+
+
 class Snapshots:
     """Immutable snapshots of digests, grown batch by batch."""
 
@@ -125,14 +139,7 @@ class Snapshots:
         fresh = materialise(fresh, "dedup-snapshot")
         self.found.append(fresh.drop("key"))
         shards = max(1, -(-fresh.count() // self.shard_keys))
-        keyed = fresh.select(_shard(F.col("key"), shards).alias("shard"), "key")
-
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            made = build_filter(pdf["key"].to_numpy().view(np.uint64))
-            return pd.DataFrame([{"shard": pdf["shard"].iloc[0]} | made])
-
-        filters = materialise(keyed.groupBy("shard").applyInPandas(build, FILTER_SCHEMA), "dedup-filters")
-        self.snapshots.append((fresh, filters, shards))
+        self.snapshots.append((fresh, build_filters(fresh, shards), shards))
 
     @staticmethod
     def _screen(fresh: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
@@ -142,7 +149,7 @@ class Snapshots:
             return rows.assign(positive=maybe_contains(known.iloc[0], keys) if len(known) else np.zeros(len(rows), bool))
 
         sides = fresh.withColumn("shard", _shard(F.col("key"), shards)).groupBy("shard").cogroup(filters.groupBy("shard"))
-        return sides.applyInPandas(screen, fresh.schema.add("positive", "boolean"))
+        return sides.applyInPandas(screen, StructType([*fresh.schema.fields, StructField("positive", BooleanType())]))
 
     def groups(self) -> DataFrame:
         """digest, keep_id, group_size over all batches so far."""
@@ -182,13 +189,27 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     )
 
 
-def byte_check(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+def byte_check(texts: DataFrame, repeated: DataFrame, screened: int = SCREENED, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """digest, texts: how many different texts each repeated digest has; grouping on the text compares its bytes.
 
-    Rows of a digest are dealt over SALTS tasks by doc_id, and each task compares its own first.
+    A text that the filters of `repeated` (digest) let through by chance is a group of its own.
     """
-    salt = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).cast("int")
-    keyed = texts.select(F.sha2("text", 256).alias("digest"), "text", salt.alias("salt"))
-    spread = repeated.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    alike = keyed.join(spread, ["digest", "salt"], "left_semi").groupBy("digest", "salt", "text").agg(F.count(F.lit(1)).alias("rows"))
-    return alike.groupBy("digest", "text").agg(F.sum("rows").alias("rows")).groupBy("digest").agg(F.count("rows").alias("texts"))
+    keyed = texts.select(F.sha2("text", 256).alias("digest"), "text")
+    n = repeated.count()
+    if n <= screened:
+        shards = max(1, -(-n // shard_keys))
+        known = texts.sparkSession.sparkContext.broadcast(build_filters(repeated.select(F.xxhash64("digest").alias("key")), shards).toPandas())
+
+        @F.pandas_udf("boolean")
+        def may_repeat(key: pd.Series, shard: pd.Series) -> pd.Series:
+            keys, own = key.to_numpy().view(np.uint64), shard.to_numpy()
+            out = np.zeros(len(keys), bool)
+            for row in known.value.to_dict("records"):
+                at = np.flatnonzero(own == row["shard"])
+                out[at] = maybe_contains(row, keys[at])
+            return pd.Series(out)
+
+        key = F.xxhash64("digest")
+        keyed = keyed.where(may_repeat(key, _shard(key, shards)))
+    alike = keyed.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("rows"))
+    return alike.groupBy("digest").agg(F.count("rows").alias("texts"))

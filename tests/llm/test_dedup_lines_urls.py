@@ -40,6 +40,17 @@ def test_exact_dedup_edge_rows(spark, batches):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], DOCS)).collect() == []
 
 
+@pytest.mark.parametrize("screened", [exact_dedup.SCREENED, 0])
+def test_byte_check_counts_texts(spark, screened):
+    """With the filters and, where digests are too many for them, without."""
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    digests = {i: hashlib.sha256(f"text {i}".encode()).hexdigest() for i in range(700)}
+    repeated = spark.createDataFrame([(digests[i],) for i in range(300)], "digest string")
+    got = {r.digest: r.texts for r in exact_dedup.byte_check(texts, repeated, screened, 50).collect()}
+    assert all(got[digests[i]] == 1 for i in range(300)) and len(got) <= (700 if not screened else 320)
+
+
 @pytest.mark.parametrize("batches", [1, 4, 5])
 def test_line_dedup_edge_rows(spark, batches):
     line = "A line that is Long enough to be counted as one"
