@@ -15,9 +15,11 @@ candidate is dropped. Components are found by alternating large-star and small-s
 links, written to the shared folder after each round.
 
 The pipeline links by similarity instead (`similar_copies`): texts of Jaccard 0.8 on five words lie some
-ten bits apart, up to twenty, and segments short enough to be equal there tell nothing apart. Candidates
-share one of the rarest fifth of their shingles, which no pair of 0.8 fails to do; WIDE bits of SimHash
-reject most others and the shingle sets themselves decide. Hot shingles come last in that order.
+ten bits apart, up to twenty, and segments short enough to be equal there tell nothing apart. So the
+signatures propose what they can, and besides texts that share one of the rarest fifth of their
+shingles are candidates, which no pair of 0.8 fails to do. Size, the shared shingle's place, a bitmap of
+parities (all three exact) and WIDE bits of SimHash reject nearly all other pairs inside the join, and
+the shingle sets themselves decide. Hot shingles come last in that order.
 
 Defined results: a null text counts as empty; A-Z are lower-cased; words are runs of anything but
 ASCII white space; fewer words than a shingle are one shingle; a text without words has fingerprint
@@ -44,6 +46,7 @@ DISTANCE = 3
 BUCKET = 1024
 TASK_NODES = 100_000
 WIDE = 26
+MARK_BITS = 256
 SAMPLE = 8_000
 _CHUNK = 1 << 16
 
@@ -267,7 +270,11 @@ def common_shingles(nodes: DataFrame, shingle: int, sample: int = SAMPLE) -> tup
 
 
 def _prefixes(nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """node, n, fp, keys: so many of each text's rarest shingles that two texts of `similarity` share one."""
+    """node, n, fp, mark, keys: so many of each text's rarest shingles that two texts of `similarity` share one.
+
+    `mark` has MARK_BITS bits, each the parity of the shingles that fall to it, so two texts differ in at
+    least as many shingles as their marks in bits.
+    """
     shared = nodes.sparkSession.sparkContext.broadcast(common_shingles(nodes, shingle))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +282,7 @@ def _prefixes(nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                sizes, prints, keys = [], [], []
+                sizes, prints, marks, keys = [], [], [], []
                 for t in some.column("text").cast(pa.binary()).to_pylist():
                     hashes = shingle_hashes(t, shingle)
                     own = np.unique(hashes).view(np.int64)
@@ -288,10 +295,13 @@ def _prefixes(nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     keys.append(own[np.lexsort((own, seen))[: n - int(np.ceil(round(similarity * n, 6))) + 1]])
                     sizes.append(n)
                     prints.append(_bits(hashes))
-                columns = [some.column("node"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "fp", "keys"])
+                    odd = np.bincount(own & (MARK_BITS - 1), minlength=MARK_BITS) & 1
+                    marks.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                longs = pa.list_(pa.int64())
+                columns = [pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(marks, longs), pa.array(keys, longs)]
+                yield pa.RecordBatch.from_arrays([some.column("node"), *columns], ["node", "n", "fp", "mark", "keys"])
 
-    return nodes.select("node", "text").mapInArrow(each, "node long, n long, fp long, keys array<long>")
+    return nodes.select("node", "text").mapInArrow(each, "node long, n long, fp long, mark array<long>, keys array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -311,39 +321,70 @@ def _verified(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: floa
     return materialise(both.select("a", "b", "one", "two").mapInArrow(each, "a long, b long"), "similar-links")
 
 
-def _likely(pairs: DataFrame, marks: DataFrame, similarity: float, distance: int) -> DataFrame:
-    """The distinct pairs (a, b) that are alike in size and within `distance` bits."""
-    x, y = (marks.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b"))
-    close = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance
-    alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
-    return materialise(pairs.distinct().join(x, "a").join(y, "b").where(alike & close).select("a", "b"), "similar-pairs")
+def _can_be_similar(x: Column, y: Column, similarity: float, distance: int) -> Column:
+    """Whether two texts (n, fp, mark) may have the similarity: by size, marks and, if not all but surely, SimHash."""
+    n = x["n"] + y["n"]
+    apart = n * (1 - 2 * similarity / (1 + similarity)) + 1e-6
+    bits = sum(F.bit_count(x["mark"][i].bitwiseXOR(y["mark"][i])) for i in range(MARK_BITS // 64))
+    alike = F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-6
+    return alike & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= distance) & (bits <= apart)
+
+
+def _meet(x: Column, y: Column, similarity: float, distance: int) -> Column:
+    """`_can_be_similar` for texts (and pos, the key's place in each) that share a key, if it is the first that they share.
+
+    What comes before the key in either is not in the other, so that the rest must hold all they have in common.
+    """
+    least = (x["n"] + y["n"]) * (similarity / (1 + similarity)) - 1e-6
+    return (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= least) & _can_be_similar(x, y, similarity, distance)
+
+
+def _signature_pairs(prints: DataFrame, similarity: float, distance: int) -> DataFrame:
+    """a, b: texts linked by deletion variants of their fingerprints that may have the similarity."""
+    about = F.struct("node", "n", "fp", "mark").alias("t")
+    named = materialise(prints.groupBy("fp").agg(F.min(about).alias("t")), "similar-named")
+    x, y = (named.select(F.col("fp").alias(c), F.col("t").alias(f"t_{c}")) for c in ("a", "b"))
+    near = near_links(named).join(x, "a").join(y, "b").select(F.col("t_a").alias("x"), F.col("t_b").alias("y"))
+    same = prints.select("fp", about).join(named.select("fp", F.col("t").alias("x")), "fp").select("x", F.col("t").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    some = near.unionByName(same).where((x["node"] != y["node"]) & _can_be_similar(x, y, similarity, distance))
+    return some.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
 
 
 def similar_links(nodes: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
     """a, b: links that connect all texts of `nodes` (node, text) of at least `similarity`.
 
-    Texts that share a key are candidates. First each meets the least and the largest node of its keys, so
-    that a group of near copies is tied by a row or two a key; then those of one key that are not connected
-    yet meet each other. Pairs further than `distance` bits apart or too unlike in size are not read.
+    Texts that deletion variants of their fingerprints link are candidates, and so are texts that share a
+    key. First each meets the least and the largest node of its keys, so that a group of near copies is
+    tied by a row or two a key; then, of each key, those outside its largest component meet the others.
+    Only pairs that pass `_can_be_similar` leave the join and are read.
     """
     prints = materialise(_prefixes(nodes, shingle, similarity), "similar-prints")
-    marks = prints.select("node", "n", "fp")
-    keys = prints.select(F.explode("keys").alias("key"), "node").repartition("key")
-    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = materialise(keys.join(ends, "key"), "similar-shared")
-    stars = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("high").alias("b")))
-    stars = _likely(stars.where("a < b"), marks, similarity, distance)
+    keys = prints.select(F.posexplode("keys").alias("pos", "key"), "node").repartition("key")
+    repeated = keys.groupBy("key").count().where("count > 1").select("key")
+    shared = keys.join(repeated, "key").join(prints.drop("keys"), "node")
+    shared = materialise(shared.select("key", F.struct("node", "pos", "n", "fp", "mark").alias("x")), "similar-shared")
+    ends = shared.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    met = shared.join(ends, "key")
+    x, y = F.col("x"), F.col("y")
+    stars = met.select(F.col("low").alias("x"), F.col("x").alias("y")).unionByName(met.select("x", F.col("high").alias("y")))
+    stars = stars.where((x["node"] < y["node"]) & _can_be_similar(x, y, similarity, distance)).select(x["node"].alias("a"), y["node"].alias("b"))
+    stars = materialise(stars.unionByName(_signature_pairs(prints, similarity, distance)).distinct(), "similar-pairs")
     first = _verified(stars, nodes, shingle, similarity)
-    rooted = shared.join(connected_components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted.join(marks, "node"), "similar-rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = rooted.join(apart, "key", "left_semi")
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "fp", "root"))) for s in ("x", "y"))
-    close = F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= distance
-    alike = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6
-    pairs = x.join(y, "key").where("node_x < node_y AND root_x <> root_y").where(alike & close)
-    pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return first.unionByName(_verified(materialise(pairs, "similar-pairs"), nodes, shingle, similarity))
+
+    roots = connected_components(first).withColumnRenamed("node", "n")
+    rooted = shared.join(roots, shared["x"]["node"] == roots["n"], "left").select("key", "x", F.coalesce("root", x["node"]).alias("root"))
+    rooted = materialise(rooted, "similar-rooted")
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    left = materialise(rooted.join(main.select("key", "main"), "key"), "similar-apart")
+    other = left.where("root <> main").select("key", F.col("x").alias("y"), F.col("root").alias("root_y"))
+    # two that are both outside the largest component meet once
+    once = (F.col("root") == F.col("main")) | (x["node"] < y["node"])
+    pairs = left.join(other, "key").where((F.col("root") != F.col("root_y")) & once & _meet(x, y, similarity, distance))
+    pairs = pairs.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
+    pairs = materialise(pairs.join(stars, ["a", "b"], "left_anti"), "similar-pairs")
+    return first.unionByName(_verified(pairs, nodes, shingle, similarity))
 
 
 def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = WIDE) -> DataFrame:
