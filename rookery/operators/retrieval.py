@@ -20,6 +20,8 @@ from ..sources.shared import shared_path
 
 QUERY_BLOCK = 512
 MAX_QUERIES = 100_000
+#: Query keywords of a block: a weight matrix of at most their square.
+BM25_KEYWORDS = 4_000
 
 
 def normalise(c: Column) -> Column:
@@ -115,6 +117,8 @@ def fuzzy_topk(queries: DataFrame, chunks: DataFrame, threshold: float = 0.4, pe
     shared = (
         q.select("query_id", F.explode("q_grams").alias("g"), F.size("q_grams").alias("q_n"))
         .join(c.select("chunk_id", F.explode("c_grams").alias("g"), F.size("c_grams").alias("c_n")), "g")
+        # sets whose sizes are further apart can't be so similar
+        .where((F.col("c_n") >= threshold * F.col("q_n") - 1e-6) & (F.col("q_n") >= threshold * F.col("c_n") - 1e-6))
         .groupBy("query_id", "chunk_id", "q_n", "c_n")
         .agg(F.count(F.lit(1)).alias("common"))
     )
@@ -153,17 +157,63 @@ def keyword_count_rank(keywords: DataFrame, chunks: DataFrame, k: int = 20) -> D
     return top_k(sized.withColumn("score", F.col("matched").cast("double")), k, order=[F.desc("matched"), F.desc("length"), F.col("chunk_id")])
 
 
-def bm25(keywords: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 of each query's keywords, by an inverted-index join."""
-    hits = token_hits(keywords, chunks)
-    words = F.size(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    sizes = chunks.select("chunk_id", words.alias("length"))
-    whole = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    frequency = hits.select("keyword", "chunk_id").distinct().groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(frequency, "keyword").join(sizes, "chunk_id")
-    idf = F.log(1 + (whole["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("length") / whole["mean"]))
-    return top_k(rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+def bm25(keywords: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, block: int = BM25_KEYWORDS) -> DataFrame:
+    """Okapi BM25 of each query's keywords: query_id, chunk_id, score, rank of the k best chunks.
+
+    Chunks are scored inside their tasks against blocks of queries of about `block` keywords, and only the
+    best of each task are shuffled, so that a word of every query and every chunk makes no row a pair.
+    """
+    spark, path = chunks.sparkSession, shared_path(chunks.sparkSession, "bm25")
+    words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    chunks.select("chunk_id", words.alias("words")).write.parquet(f"{path}/words")
+    tokens = spark.read.parquet(f"{path}/words")
+    whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    asked = keywords.select(F.col("query_id").cast("string").alias("query_id"), "keyword").distinct()
+    held = tokens.select(F.explode(F.array_distinct("words")).alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
+    blocks = max(1, -(-asked.count() // block))
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(held, "keyword")
+    numbered.repartition("block").write.partitionBy("block").parquet(f"{path}/queries")
+    queries = spark.read.schema("query_id string, keyword string, df long, block int").parquet(f"{path}/queries")
+    for i in range(blocks):
+        some = queries.where(F.col("block") == i).select("query_id", "keyword", "df").collect()
+        hits, shared = _bm25_block(some, tokens, whole["n"], whole["mean"] or 1.0, k, k1, b)
+        if blocks == 1:
+            return top_k(hits, k)
+        top_k(hits, k).write.parquet(f"{path}/hits/block={i}")
+        shared.destroy()
+    return spark.read.schema("query_id string, chunk_id string, score double, rank int").parquet(f"{path}/hits")
+
+
+def _bm25_block(asked: list, tokens: DataFrame, n: int, mean: float, k: int, k1: float, b: float):
+    """Hits (query_id, chunk_id, score) of one block of queries' keywords, with ties at the k-th, and the broadcast they read."""
+    names, words = sorted({r["query_id"] for r in asked}), sorted({r["keyword"] for r in asked})
+    at_name, at_word = ({x: i for i, x in enumerate(xs)} for xs in (names, words))
+    df = np.zeros(len(words))
+    weight = np.zeros((len(words), len(names)), np.float64)
+    for r in asked:
+        df[at_word[r["keyword"]]] = r["df"]
+        weight[at_word[r["keyword"]], at_name[r["query_id"]]] = 1.0
+    weight *= np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None]
+    shared = tokens.sparkSession.sparkContext.broadcast((np.array(names, object), at_word, weight))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, at_word, weight = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), QUERY_BLOCK):
+                some = batch.iloc[at : at + QUERY_BLOCK]
+                counts = np.zeros((len(some), len(at_word)))
+                for i, held in enumerate(some["words"]):
+                    for w in held:
+                        if (j := at_word.get(w)) is not None:
+                            counts[i, j] += 1
+                length = np.array([len(held) for held in some["words"]], np.float64)
+                part = counts * (k1 + 1) / (counts + k1 * (1 - b + b * length / mean)[:, None])
+                scores = np.round((part @ weight).T, 6)
+                reach = scores > 0 if scores.shape[1] <= k else (scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]) & (scores > 0)
+                q, c = np.nonzero(reach)
+                yield pd.DataFrame({"query_id": names[q], "chunk_id": some["chunk_id"].to_numpy()[c], "score": scores[q, c]})
+
+    return tokens.mapInPandas(best, "query_id string, chunk_id string, score double"), shared
 
 
 def fuse(methods: list[tuple[str, float, DataFrame]], k: int = 25) -> DataFrame:

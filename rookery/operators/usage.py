@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 from .analytics import count_if
 
 #: Dollars per 1,000 tokens by model (input, output), dollars per reference, yen a dollar.
@@ -83,16 +85,22 @@ def resource_list(docs: DataFrame, users: DataFrame, chat: DataFrame) -> DataFra
 
 
 def account_tree(users: DataFrame, root: str) -> DataFrame:
-    """id, depth of all accounts created below `root`; a level a join, until one adds nothing."""
-    links = users.select("id", "created_by").where("created_by IS NOT NULL AND id <> created_by")
-    level = links.where(F.col("created_by") == root).select("id", F.lit(1).alias("depth"))
-    found, depth = level, 1
-    while not level.isEmpty():
-        depth += 1
-        below = links.join(level.select(F.col("id").alias("created_by")), "created_by").select("id", F.lit(depth).alias("depth"))
-        level = below.join(found.select("id"), "id", "left_anti")
-        found = found.unionByName(level)
-    return found
+    """id, depth of all accounts created below `root`; a level a join, until one adds nothing.
+
+    Levels are written to the shared folder, so that each is computed once; a cycle doesn't return the root.
+    """
+    spark, path = users.sparkSession, shared_path(users.sparkSession, "account-tree")
+    links = users.select("id", "created_by").where((F.col("created_by") != F.col("id")) & (F.col("id") != root))
+    level, depth = links.where(F.col("created_by") == root).select("id"), 1
+    schema = "id string, depth int"
+    while True:
+        level.write.parquet(f"{path}/depth={depth}")
+        level = spark.read.schema("id string").parquet(f"{path}/depth={depth}")
+        if level.isEmpty():
+            return spark.read.schema(schema).parquet(path)
+        found = spark.read.schema(schema).parquet(path).select("id")
+        below = links.join(level.select(F.col("id").alias("created_by")), "created_by").select("id").distinct()
+        level, depth = below.join(found, "id", "left_anti"), depth + 1
 
 
 def price_by_model(tokens: DataFrame, rates: DataFrame) -> DataFrame:
