@@ -8,6 +8,7 @@ another is sent to the tasks, so that no number of queries is too large. Only to
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ QUERY_BLOCK = 512
 MAX_QUERIES = 100_000
 #: Query keywords of a block: a weight matrix of at most their square.
 BM25_KEYWORDS = 4_000
+BM25_CHUNKS = 128
 
 
 def normalise(c: Column) -> Column:
@@ -165,7 +167,10 @@ def bm25(keywords: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b
     """
     spark, path = chunks.sparkSession, shared_path(chunks.sparkSession, "bm25")
     words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    chunks.select("chunk_id", words.alias("words")).write.parquet(f"{path}/words")
+    few = spark.sparkContext.defaultParallelism
+    spread = chunks.select("chunk_id", "content")
+    spread = spread.repartition(few) if len(chunks.inputFiles()) < few else spread
+    spread.select("chunk_id", words.alias("words")).write.parquet(f"{path}/words")
     tokens = spark.read.parquet(f"{path}/words")
     whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
     asked = keywords.select(F.col("query_id").cast("string").alias("query_id"), "keyword").distinct()
@@ -199,21 +204,32 @@ def _bm25_block(asked: list, tokens: DataFrame, n: int, mean: float, k: int, k1:
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, at_word, weight = shared.value
         for batch in batches:
-            for at in range(0, len(batch), QUERY_BLOCK):
-                some = batch.iloc[at : at + QUERY_BLOCK]
-                counts = np.zeros((len(some), len(at_word)))
+            for at in range(0, len(batch), BM25_CHUNKS):
+                some = batch.iloc[at : at + BM25_CHUNKS]
+                row, word, times = [], [], []
                 for i, held in enumerate(some["words"]):
-                    for w in held:
-                        if (j := at_word.get(w)) is not None:
-                            counts[i, j] += 1
-                length = np.array([len(held) for held in some["words"]], np.float64)
-                part = counts * (k1 + 1) / (counts + k1 * (1 - b + b * length / mean)[:, None])
-                scores = np.round((part @ weight).T, 6)
-                reach = scores > 0 if scores.shape[1] <= k else (scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]) & (scores > 0)
+                    for j, m in Counter(map(at_word.get, held)).items():
+                        if j is not None:
+                            row.append(i)
+                            word.append(j)
+                            times.append(m)
+                if not row:
+                    continue
+                row, times = np.array(row), np.array(times, np.float64)
+                length = np.array([len(held) for held in some["words"]], np.float64)[row]
+                part = weight[word] * times[:, None] * (k1 + 1) / (times + k1 * (1 - b + b * length / mean))[:, None]
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                scores = np.zeros((len(some), len(names)))
+                scores[row[first]] = np.add.reduceat(part, first, axis=0)
+                scores = scores.T
+                reach = scores > 0
+                if scores.shape[1] > k:  # and what rounding may make equal to the k-th
+                    reach &= scores >= np.partition(scores, -k, axis=1)[:, -k][:, None] - 2e-6
                 q, c = np.nonzero(reach)
                 yield pd.DataFrame({"query_id": names[q], "chunk_id": some["chunk_id"].to_numpy()[c], "score": scores[q, c]})
 
-    return tokens.mapInPandas(best, "query_id string, chunk_id string, score double"), shared
+    hits = tokens.mapInPandas(best, "query_id string, chunk_id string, score double")
+    return hits.withColumn("score", F.round("score", 6)), shared
 
 
 def fuse(methods: list[tuple[str, float, DataFrame]], k: int = 25) -> DataFrame:
@@ -222,7 +238,7 @@ def fuse(methods: list[tuple[str, float, DataFrame]], k: int = 25) -> DataFrame:
     for name, weight, hits in methods:
         part = hits.select("query_id", "chunk_id", (F.col("score") * weight).alias("score"), F.lit(name).alias("method"))
         rows = part if rows is None else rows.unionByName(part)
-    best = rows.groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), 6).alias("score"), F.concat_ws(",", F.sort_array(F.collect_set("method"))).alias("methods"))
+    best = rows.groupBy("query_id", "chunk_id").agg((F.floor(F.max("score") * 1e6 + 0.5) / 1e6).alias("score"), F.concat_ws(",", F.sort_array(F.collect_set("method"))).alias("methods"))
     return top_k(best, k)
 
 
