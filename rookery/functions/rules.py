@@ -89,3 +89,33 @@ def file_kind(name: Column) -> Column:
     for kind, extensions in kinds.items():
         out = F.when(ext.isin(extensions), kind).otherwise(out)
     return F.when(name.rlike("^https?://"), "url").otherwise(out)
+
+
+def valid_timestamp(c: Column) -> Column:
+    """The timestamp a text holds; null if it can't be read."""
+    return F.try_to_timestamp(F.trim(c))
+
+
+def page_estimate(tokens: Column, records: Column) -> Column:
+    """Pages of 500 tokens, or of 50 records where there are records; one at least."""
+    return F.greatest(F.lit(1).cast("long"), F.when(records > 0, F.ceil(records / 50)).otherwise(F.ceil(tokens / 500)))
+
+
+#: Accounts of operators, and names of no source.
+OPERATORS = ["admin", "operator", "support"]
+NO_SOURCE = ["unknown", "none", ""]
+
+
+def counts_as_use(role: Column, source: Column) -> Column:
+    """Whether a chat counts in the reports: not an operator's, and with a named source; case doesn't matter."""
+    return ~F.lower(F.coalesce(role, F.lit(""))).isin(OPERATORS) & ~F.lower(F.trim(F.coalesce(source, F.lit("")))).isin(NO_SOURCE)
+
+
+def clean_cell(c: Column, most: int = 1000) -> Column:
+    """A cell without surrounding and repeated white space, NUL and byte order marks, cut after `most` characters; full width folded."""
+    wide = "".join(chr(0xFEE0 + x) for x in range(0x21, 0x7F) if x != 0x40) + "　"
+    plain = "".join(chr(x) for x in range(0x21, 0x7F) if x != 0x40) + " "
+    text = F.trim(F.coalesce(c, F.lit("")))
+    text = F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+    text = F.regexp_replace(F.translate(text, wide, plain), r"[\t\n\x0b\f\r ]+", " ")
+    return F.trim(F.replace(F.replace(text, F.lit("\0"), F.lit("")), F.lit("﻿"), F.lit("")))

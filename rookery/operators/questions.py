@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,3 +141,52 @@ def merge_parts(hits: DataFrame, parts: DataFrame, k: int = 10) -> DataFrame:
 
     rows = hits.join(parts.select("query_id", "id"), "query_id").groupBy("id", "chunk_id").agg(F.max("score").alias("score"), F.countDistinct("query_id").alias("parts"))
     return top_k(rows, k, by=["id"])
+
+
+#: Openings and endings that say nothing to a search.
+OPENINGS = r"^(?:教えて|説明して|知りたい|聞きたい|すみません|恐れ入ります|please tell me|tell me|excuse me)[:：,、，\s]*"
+ENDINGS = r"(?:お願いします|ください|だろうか|でしょうか|please)[。．.\s]*$"
+#: Signs of several tasks, of complex questions and of tables.
+SEVERAL = [r"WP[DN]\d{7}.*WP[DN]\d{7}", r"(?:と|、).*について", r"(?:また|さらに|あと).*も", r"[？?].*[？?]", r"(?:[123]\.|[①②③])"]
+COMPLEX = ["表形式", "表で", "テーブル", "一覧表", "詳細を表", "×", "✕", "物件番号ごと", "条件:", "指示:", "注意事項", "表示条件"]
+TABLES = ["表形式", "表で", "テーブル", "物件番号ごと"]
+
+
+def search_query(text: Column) -> Column:
+    """What a search needs of a question: no polite opening or ending, no question marks."""
+    out = F.trim(F.lower(text))
+    for pattern in (OPENINGS, ENDINGS):
+        out = F.trim(F.regexp_replace(out, pattern, ""))
+    return F.trim(F.translate(out, "？?", ""))
+
+
+def _any(text: Column, patterns: list[str]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | text.rlike(p)
+    return out
+
+
+def has_several_tasks(text: Column, least: int = 30) -> Column:
+    """A sign of several tasks in a question of over `least` characters."""
+    return _any(text, SEVERAL) & (F.char_length(text) > least)
+
+
+def is_complex(text: Column) -> Column:
+    return _any(text, COMPLEX)
+
+
+def asks_for_table(text: Column) -> Column:
+    return _any(text, TABLES)
+
+
+def segment_keywords(text: Column) -> Column:
+    """Katakana and Latin words or numbers of three characters or more, distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit("([ア-ヴー]{3,})"), 1), F.regexp_extract_all(text, F.lit("([A-Za-z0-9]{3,})"), 1))))
+
+
+def merge_keywords(lists: Column, most: int = 10) -> Column:
+    """Keywords of a question's variants in one list, legal forms set apart from names, in order of first use."""
+    forms = "|".join(re.escape(f) for f in LEGAL_FORMS)
+    words = F.transform(F.flatten(lists), lambda w: F.trim(F.regexp_replace(w, forms, "")))
+    return F.slice(F.array_distinct(F.filter(words, lambda w: w != "")), 1, most)

@@ -4,6 +4,8 @@ from compare import assert_same, connect
 from rookery.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Joins with a table of a few prices or one row of totals.
+NESTED_LOOPS = {"c1_c5_price_usage"}
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +40,4 @@ def test_plans_have_no_cartesian_product(spark):
     for name, query in QUERIES.items():
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan or name in NESTED_LOOPS, name
