@@ -293,3 +293,16 @@ def ann_topk(queries: DataFrame, chunks: DataFrame, k: int, lists: int = 100, pr
     probed = asked.select("query_id", "unit", F.explode(F.transform(near, lambda x: x["list"])).alias("list"))
     hits = probed.join(indexed, "list").select("query_id", "chunk_id", F.round(dot(F.col("unit"), F.col("v")), 5).alias("score"))
     return top_k(hits, k)
+
+
+def partial_match(queries: DataFrame, keywords: DataFrame, hits: DataFrame, chunks: DataFrame, least: int = 5, factor: float = 0.8, k: int = 10) -> DataFrame:
+    """query_id, chunk_id, score, rank: for queries of fewer than `least` hits, chunks with any of their keywords.
+
+    The score is `factor` times the share of the keywords that the chunk has; chunks that are hits already stay out.
+    """
+    enough = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("query_id")
+    asked = keywords.join(queries.select("query_id").join(enough, "query_id", "left_anti"), "query_id", "left_semi").select("query_id", "keyword").distinct()
+    many = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("many"))
+    found = token_hits(asked, chunks).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched")).join(many, "query_id")
+    new = found.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return top_k(new.select("query_id", "chunk_id", F.round(factor * F.col("matched") / F.col("many"), 6).alias("score")), k)
