@@ -49,9 +49,18 @@ def enrich_stream(d):
     return finished(d, jobs.enrich(log_stream(d, 20), d.companies), "enrich")
 
 
-@query("st5_daily_activity_stream")
+@query(
+    "st5_daily_activity_stream",
+    """WITH du AS (SELECT CAST(timestamp AS DATE) AS day, user_id, count(*) AS n FROM chat_history GROUP BY 1, 2), days AS (SELECT DISTINCT day FROM du)
+ SELECT days.day, count(DISTINCT CASE WHEN du.day = days.day THEN user_id END) AS users, CAST(sum(CASE WHEN du.day = days.day THEN n ELSE 0 END) AS BIGINT) AS messages,
+ count(DISTINCT user_id) AS users_7d, CAST(sum(n) AS BIGINT) AS messages_7d FROM days JOIN du ON du.day BETWEEN days.day - 6 AND days.day GROUP BY 1""",
+    dates=("day",),
+)
 def daily_activity_stream(d):
-    return finished(d, jobs.daily_activity_stream(log_stream(d, 20)), "daily")
+    path = shared_path(d.spark, "daily")
+    stream = log_stream(d, 20)
+    rows = stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return jobs.activity_windows(jobs.stream_daily_users(rows, f"{path}/table", f"{path}/checkpoint"))
 
 
 @query(

@@ -91,6 +91,32 @@ def stream_rollup(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return table.read()
 
 
+def stream_daily_users(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """day, user_id, messages: updates of each day and user written batch by batch, so that open days are there too.
+
+    The watermark ends the state of days that are over; a replayed batch overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    per = stream.withWatermark("timestamp", "2 days").groupBy(F.window("timestamp", "1 day").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("messages"))
+    rows = per.select(F.to_date("w.start").alias("day"), "user_id", "messages")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    run_all(rows.writeStream.outputMode("update").foreachBatch(put), checkpoint)
+    found = spark.read.schema("day date, user_id string, messages long, batch long").parquet(path)
+    return found.groupBy("day", "user_id").agg(F.max("messages").alias("messages"))
+
+
+def activity_windows(daily_users: DataFrame, days: int = 7) -> DataFrame:
+    """day, users, messages of each day with messages, and of the `days` that end with it: a user counts once a window."""
+    own = daily_users.groupBy("day").agg(F.count("user_id").alias("users"), F.sum("messages").alias("messages"))
+    ends = F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("day")
+    slid = daily_users.select(ends, "user_id", "messages").groupBy("day", "user_id").agg(F.sum("messages").alias("messages"))
+    slid = slid.groupBy("day").agg(F.count("user_id").alias(f"users_{days}d"), F.sum("messages").alias(f"messages_{days}d"))
+    return own.join(slid, "day")
+
+
 def enrich(stream: DataFrame, companies: DataFrame) -> DataFrame:
     """Each chat with its company's name, category label and cost, as a stream-static join."""
     names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
