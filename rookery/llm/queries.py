@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bin_slack import pack_windows
 from .bpe import encode_and_decode
 from .common import table
 from .exact_dedup import exact_dedup
@@ -93,6 +94,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), RULES)
 
 
+def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_windows(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
@@ -104,6 +110,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
+    "op11_bin_slack": op11_bin_slack,
 }
 
 ORACLES = {
