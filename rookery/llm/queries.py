@@ -15,8 +15,10 @@ from .language_id import fit, fold_of, identify
 from .line_dedup import drop_frequent_lines
 from .packing import pack
 from .simhash import near_duplicates
+from .spelling import spelling_groups
 from .url_filter import SPAM_WORDS, has_word, host_of, judge_urls
 from .warc import round_trip
+from .whitening import whiten
 
 RULES = [
     ("allow", "com", "/"),
@@ -99,6 +101,14 @@ def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
@@ -111,6 +121,8 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
     "op11_bin_slack": op11_bin_slack,
+    "op12_spelling": op12_spelling,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {

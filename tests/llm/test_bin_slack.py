@@ -82,7 +82,7 @@ def test_few_cuts_where_short_pieces_abound():
     rng = random.Random(1)
     pool = Pool(2048)
     for i in range(3000):
-        n = min(2047, 1 + int(rng.lognormvariate(6, 1.2)))
+        n = 1 + int(min(2047, rng.lognormvariate(6, 1.2)))
         pool.put(i, 0, bytes(4 * n), n)
     pieces = 0
     while pool.tokens:
