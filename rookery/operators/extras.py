@@ -106,21 +106,6 @@ def consecutive_share(rows: DataFrame, group: str, value: str) -> DataFrame:
     return per.withColumn("is_index", F.col("share") >= 0.7)
 
 
-def smart_search(chunks: DataFrame, required: DataFrame, groups: DataFrame) -> DataFrame:
-    """Chunks with any required word, and a word of every synonym group, by joins on words.
-
-    `required`: query_id, word. `groups`: query_id, group_no, word.
-    """
-    words = F.array_distinct(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    held = chunks.select("chunk_id", F.explode(words).alias("word"))
-    any_word = required.join(held, "word").select("query_id", "chunk_id").distinct()
-    met = groups.join(held, "word").groupBy("query_id", "chunk_id").agg(F.countDistinct("group_no").alias("met"))
-    needed = groups.groupBy("query_id").agg(F.countDistinct("group_no").alias("needed"))
-    all_groups = met.join(needed, "query_id").where("met = needed").select("query_id", "chunk_id")
-    free = any_word.join(needed, "query_id", "left_anti")
-    return any_word.join(all_groups, ["query_id", "chunk_id"], "left_semi").unionByName(free)
-
-
 def synonym_search(terms: DataFrame, synonyms: DataFrame, chunks: DataFrame, k: int = 5, weight: float = 0.8) -> DataFrame:
     """Chunks by terms at 1 and synonyms at a lesser weight; the best per chunk."""
     words = F.array_distinct(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))

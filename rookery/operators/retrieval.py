@@ -109,30 +109,6 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
-def fuzzy_topk(queries: DataFrame, chunks: DataFrame, threshold: float = 0.4, penalty: float = 0.012, k: int = 40) -> DataFrame:
-    """Trigram similarity, less a penalty for the difference in length, plus for equal texts or prefixes.
-
-    Candidates share a trigram, counted by joining exploded grams: the count is the intersection itself.
-    """
-    q = queries.select("query_id", normalise(F.col("text")).alias("q_text"), trigrams(F.col("text")).alias("q_grams"))
-    c = chunks.select("chunk_id", normalise(F.col("content")).alias("c_text"), trigrams(F.col("content")).alias("c_grams"))
-    shared = (
-        q.select("query_id", F.explode("q_grams").alias("g"), F.size("q_grams").alias("q_n"))
-        .join(c.select("chunk_id", F.explode("c_grams").alias("g"), F.size("c_grams").alias("c_n")), "g")
-        # sets whose sizes are further apart can't be so similar
-        .where((F.col("c_n") >= threshold * F.col("q_n") - 1e-6) & (F.col("q_n") >= threshold * F.col("c_n") - 1e-6))
-        .groupBy("query_id", "chunk_id", "q_n", "c_n")
-        .agg(F.count(F.lit(1)).alias("common"))
-    )
-    similarity = F.col("common") / (F.col("q_n") + F.col("c_n") - F.col("common"))
-    near = shared.withColumn("similarity", F.round(similarity, 6)).where(F.col("similarity") >= threshold)
-    near = near.join(q.drop("q_grams"), "query_id").join(c.drop("c_grams"), "chunk_id")
-    gap = F.abs(F.char_length("c_text") - F.char_length("q_text"))
-    bonus = F.when(F.col("c_text") == F.col("q_text"), 0.4).when(F.col("c_text").startswith(F.col("q_text")), 0.2).otherwise(0.0)
-    scored = near.select("query_id", "chunk_id", "similarity", F.round(F.col("similarity") - penalty * gap + bonus, 6).alias("score"))
-    return top_k(scored, k)
-
-
 def keywords_of(queries: DataFrame, least: int = 4, most: int = 25) -> DataFrame:
     """query_id, keyword: distinct lower-case words of a least length, in order of first use."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= least))
@@ -146,12 +122,6 @@ def token_hits(keywords: DataFrame, chunks: DataFrame) -> DataFrame:
     return keywords.select("query_id", "keyword").join(counts, "keyword")
 
 
-def keyword_search(keywords: DataFrame, chunks: DataFrame, per_keyword: int = 20, score: float = 0.95) -> DataFrame:
-    """Up to `per_keyword` chunks a keyword, each chunk once a query."""
-    hits = top_k(token_hits(keywords, chunks), per_keyword, ["query_id", "keyword"], [F.col("chunk_id")])
-    return hits.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("keywords")).withColumn("score", F.lit(score))
-
-
 def keyword_count_rank(keywords: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """Chunks by the number of matched keywords, then length."""
     hits = token_hits(keywords, chunks).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"))
@@ -262,7 +232,7 @@ def phrase_search(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
     def pairs(df: DataFrame, key: str, text: str) -> DataFrame:
         words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        two = F.zip_with(words, F.slice(words, 2, 1_000_000), lambda a, b: F.concat(a, F.lit(" "), b))
+        two = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
         return df.select(key, F.explode(F.array_distinct(F.filter(two, lambda p: p.isNotNull()))).alias("pair"))
 
     q, c = pairs(queries, "query_id", "text"), pairs(chunks, "chunk_id", "content")

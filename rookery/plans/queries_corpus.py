@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import retrieval as R
+from ..operators import textindex as I
 from .registry import query
 
 CUT = """CASE WHEN {s} + 700 >= length(text) THEN length(text)
@@ -175,6 +176,10 @@ KEYWORDS = f""", kw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS query_id, un
  hits AS (SELECT query_id, kw.keyword, chunk_id, n FROM kw JOIN cnt ON cnt.keyword = kw.keyword)"""
 
 
+#: The chunks that hold each keyword as a substring, twenty a keyword.
+HELD = """, word AS (SELECT DISTINCT keyword FROM kw), part AS (SELECT keyword, chunk_id, row_number() OVER (PARTITION BY keyword ORDER BY chunk_id) AS r FROM word JOIN chunks ON contains(lower(content), keyword))"""
+
+
 def keyword_table(d):
     return R.keywords_of(questions(d), most=100_000)
 
@@ -183,11 +188,11 @@ def keyword_table(d):
     "r5_keyword_search",
     CHUNKS
     + KEYWORDS
-    + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, keyword ORDER BY chunk_id) AS r FROM hits)
- SELECT query_id, chunk_id, count(*) AS keywords, CAST(0.95 AS DOUBLE) AS score FROM k WHERE r <= 20 GROUP BY 1, 2""",
+    + HELD
+    + """ SELECT query_id, chunk_id, count(*) AS keywords, CAST(0.95 AS DOUBLE) AS score FROM kw JOIN part ON part.keyword = kw.keyword WHERE r <= 20 GROUP BY 1, 2""",
 )
 def keyword_search(d):
-    return R.keyword_search(keyword_table(d), chunks_of(d))
+    return I.keyword_search(keyword_table(d), chunks_of(d))
 
 
 @query(
@@ -242,7 +247,7 @@ NORMAL = r"trim(regexp_replace(lower({t}), '[\t\n\r ]+', ' ', 'g'))"
 )
 def fuzzy_topk(d):
     asked = d.chat_turns.where("conv_id % 20 = 0").select(F.col("id").alias("query_id"), F.col("user_message").alias("text"))
-    return R.fuzzy_topk(asked, d.chat_turns.select(F.col("id").alias("chunk_id"), F.col("user_message").alias("content")))
+    return I.fuzzy_topk(asked, d.chat_turns.select(F.col("id").alias("chunk_id"), F.col("user_message").alias("content")))
 
 
 @query(
@@ -250,14 +255,15 @@ def fuzzy_topk(d):
     CHUNKS
     + KEYWORDS
     + BM25
-    + """, kc AS (SELECT query_id, chunk_id, CAST(0.95 AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, keyword ORDER BY chunk_id) AS r FROM hits) WHERE r <= 20 GROUP BY 1, 2),
+    + HELD
+    + """, kc AS (SELECT query_id, chunk_id, CAST(0.95 AS DOUBLE) AS score FROM kw JOIN part ON part.keyword = kw.keyword WHERE r <= 20 GROUP BY 1, 2),
  un AS (SELECT query_id, chunk_id, score * 0.9 AS score, 'bm25' AS method FROM bm WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, score * 1.0, 'keyword' FROM kc),
  b AS (SELECT query_id, chunk_id, round(max(score), 6) AS score, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM un GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b) SELECT * FROM r WHERE rank <= 25""",
 )
 def hybrid_fusion(d):
     chunks, keywords = chunks_of(d), keyword_table(d)
-    return R.fuse([("bm25", 0.9, R.bm25(keywords, chunks)), ("keyword", 1.0, R.keyword_search(keywords, chunks))])
+    return R.fuse([("bm25", 0.9, R.bm25(keywords, chunks)), ("keyword", 1.0, I.keyword_search(keywords, chunks))])
 
 
 @query(

@@ -195,18 +195,6 @@ def similarity_bands(d):
     return hits_of(d).groupBy(P.similarity_band(F.col("score") / 20).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "r6_smart_search",
-    CHUNKS
-    + r""", w AS (SELECT DISTINCT chunk_id, doc_id, unnest(string_split_regex(lower(content), '[^\p{L}\p{N}]+')) AS word FROM chunks)
- SELECT DISTINCT 'q' AS query_id, chunk_id FROM w WHERE word = 'the' AND chunk_id IN (SELECT chunk_id FROM w WHERE word IN ('with', 'by')) AND chunk_id IN (SELECT chunk_id FROM w WHERE word IN ('of', 'as'))""",
-)
-def smart_search(d):
-    required = d.spark.createDataFrame([("q", "the")], "query_id string, word string")
-    groups = d.spark.createDataFrame([("q", 1, "with"), ("q", 1, "by"), ("q", 2, "of"), ("q", 2, "as")], "query_id string, group_no int, word string")
-    return X.smart_search(chunks_of(d), required, groups)
-
-
 @query(
     "r16_merge_expanded",
     CHUNKS
