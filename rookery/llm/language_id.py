@@ -3,16 +3,19 @@
 For each language a suffix automaton of labelled text is built. A text is cut greedily into phrases,
 each the longest that occurs in the language's text; phrases times the bits that name a place in that
 text, over the length, estimate the cross entropy, and the language with the least wins (ties: the
-first by name). Text is lower-cased, letters of any script count, all else is one space.
+first by name). A letter that the text doesn't have is a phrase by itself and takes ESCAPE bits more, as
+any letter of Unicode would, so that little text makes a language dear and not cheap. Text is lower-cased,
+letters of any script count, all else is one space.
 
-Fitting reads a bounded sample of labelled rows: of each language at most SAMPLE_DOCS whole texts, picked
-by a hash, as many as it takes to reach SAMPLE_CHARS characters; texts of over LONGEST characters are
-taken only where there are no others (a single one longer than SAMPLE_CHARS gives that many). The
-sample of a language doesn't depend on how many others there are; over MAX_LANGUAGES are refused.
+Fitting reads a bounded sample of labelled rows: of each language at most SAMPLE_DOCS texts, picked by a
+hash. A text of over LONGEST characters gives PIECES pieces of that length together, spread evenly from its
+beginning to its end. The sample of a language doesn't depend on how many others there are; over
+MAX_LANGUAGES, and more letters than a number has room for, are refused.
 
-As many characters again of other labelled texts of the language, where there are some, tell its usual
-rate of bits a character: `keep_identified` rejects a text that takes FOREIGN times as many in its best
-language (with PHRASES phrases left out, so that short texts stay): it is in no language that was learned.
+Every fourth text of the sample is not learned but tells the language's usual rate of bits a character; a
+language of fewer texts takes the largest rate of the others. `keep_identified` rejects a text that takes
+FOREIGN times as many in its best language (with PHRASES phrases left out, so that short texts stay): it is
+in no language that was learned.
 
 Predicting reads every whole text. All blocks of BLOCK characters of all texts are parsed side by side,
 each as if a phrase began there; then each block that a phrase reaches into is parsed again from the
@@ -37,8 +40,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 64
-SAMPLE_CHARS = 20_000
-LONGEST = 5_000
+LONGEST = 1_000
+PIECES = 4
+HELD_BACK = 4
+ESCAPE = 20.0
 MAX_LANGUAGES = 400
 FOREIGN = 2.0
 PHRASES = 3
@@ -97,7 +102,9 @@ class Automata:
         self.languages = sorted(samples)
         lowered = {lang: samples[lang].lower() for lang in self.languages}
         #: All letters of the samples; a letter that none of them has is a phrase by itself in every language.
-        self.letters = sorted({c for t in lowered.values() for c in t if c.isalpha()})[: (1 << int(_CODE)) - 2]
+        self.letters = sorted({c for t in lowered.values() for c in t if c.isalpha()})
+        if len(self.letters) > (1 << int(_CODE)) - 2:
+            raise ValueError(f"at most {(1 << int(_CODE)) - 2} different letters in one model")
         self._codes: np.ndarray | None = None
         states, chars, onto, roots, bits, base = [], [], [], [], [], 0
         self.first = np.full((len(self.languages), len(self.letters) + 2), -1, np.int64)
@@ -252,7 +259,13 @@ class Automata:
                 some, held = [], 0
         if some:
             parts.append(self.phrases(some))
-        return np.concatenate(parts, axis=1) * self.bits[:, None]
+        return np.concatenate(parts, axis=1) * self.bits[:, None] + ESCAPE * self.unknown(coded)
+
+    def unknown(self, coded: list[np.ndarray]) -> np.ndarray:
+        """(languages, texts) numbers of letters that the language's sample doesn't hold."""
+        absent = (self.first < 0).astype(np.float64)
+        counts = [np.bincount(c, minlength=absent.shape[1]) for c in coded]
+        return absent @ np.array(counts, np.float64).reshape(len(coded), -1).T if counts else np.zeros((len(absent), 0))
 
     def calibrate(self, others: dict[str, list[str]]) -> None:
         """Learn the usual bits a character from labelled texts that the automata do not hold."""
@@ -260,6 +273,8 @@ class Automata:
             coded = [self.encode(t)[0] for t in others.get(lang, [])]
             if chars := sum(map(len, coded)):
                 self.usual[k] = self.costs(coded)[k].sum() / chars
+        if (known := np.isfinite(self.usual)).any():
+            self.usual[~known] = self.usual[known].max()
 
     def measure(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Of each text the language, its score, and whether it is as that language's texts are."""
@@ -270,7 +285,7 @@ class Automata:
         best, least = bits.argmin(axis=0), bits.min(axis=0)
         share = 1 / np.exp2(np.minimum(0, least - bits)).sum(axis=0)
         chars = np.array([len(c) for c, _ in coded])
-        alike = least - PHRASES * self.bits[best] <= FOREIGN * self.usual[best] * np.maximum(chars, 1)
+        alike = least - PHRASES * (self.bits[best] + ESCAPE) <= FOREIGN * self.usual[best] * np.maximum(chars, 1)
         lang = [self.languages[b] if has else UNKNOWN for b, (_, has) in zip(best, coded, strict=True)]
         score = [float(s) if has else 0.0 for s, (_, has) in zip(share, coded, strict=True)]
         return lang, score, [bool(a) and has for a, (_, has) in zip(alike, coded, strict=True)]
@@ -290,10 +305,17 @@ class _Lanes:
         self.states, self.ended = (np.full((stops, len(root)), -1, np.int32) for _ in range(2))
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Automata:
+def spread(text: Column, longest: int = LONGEST) -> Column:
+    """The text, or of a long one PIECES pieces of `longest` characters together, from its beginning to its end."""
+    n, piece = F.char_length(text), longest // PIECES
+    starts = [F.floor((n - piece) * i / (PIECES - 1)).cast("int") + 1 for i in range(PIECES)]
+    return F.when(n > longest, F.concat_ws(" ", *(F.substr(text, at, F.lit(piece)) for at in starts))).otherwise(text)
+
+
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Automata:
     """Automata of all languages of `labelled` (doc_id, text, lang)."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return Automata({})
     if len(counts) > MAX_LANGUAGES:
@@ -301,18 +323,13 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int =
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * sample_docs / n))))
     order = F.xxhash64(F.col("doc_id").cast("string"), "text")
     picked = rows.where(F.pmod(order, F.lit(1_000_000_000)) / 1e9 < share[F.col("lang")])
-    long = F.char_length("text") > LONGEST
-    picked = picked.select("lang", "text", long.alias("long"), order.alias("place"), F.char_length("text").alias("n"))
-    by = Window.partitionBy("lang").orderBy("long", "place", "text")
-    placed = picked.withColumns({"k": F.row_number().over(by), "upto": F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1))})
-    before = F.coalesce("upto", F.lit(0))
-    wanted = (F.col("k") <= sample_docs) & (before < 2 * sample_chars) & ((F.col("k") == 1) | ~F.col("long"))
-    text = F.when(F.col("long"), F.substring("text", 1, sample_chars)).otherwise(F.col("text"))
+    picked = picked.select("lang", order.alias("place"), spread(F.col("text")).alias("text"))
+    by = Window.partitionBy("lang").orderBy("place", "text")
     texts: dict[str, list] = {lang: [] for lang in counts}
-    for r in placed.where(wanted).select("lang", "k", before.alias("before"), text.alias("text")).collect():
-        texts[r["lang"]].append((r["k"], r["before"] < sample_chars, r["text"]))
-    model = Automata({lang: " ".join(t for _, first, t in sorted(some) if first) for lang, some in texts.items()})
-    model.calibrate({lang: [t for _, first, t in sorted(some) if not first] for lang, some in texts.items()})
+    for r in picked.withColumn("k", F.row_number().over(by)).where(F.col("k") <= sample_docs).collect():
+        texts[r["lang"]].append((r["k"], r["text"]))
+    model = Automata({lang: " ".join(t for k, t in sorted(some) if k % HELD_BACK) for lang, some in texts.items()})
+    model.calibrate({lang: [t for k, t in sorted(some) if k % HELD_BACK == 0] for lang, some in texts.items()})
     return model
 
 

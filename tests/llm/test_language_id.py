@@ -94,14 +94,45 @@ def test_sample_does_not_shrink_with_languages(spark):
     rows = [(k, say(400), f"l{k % 40}") for k in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     many, one = li.fit(docs), li.fit(docs.where("lang = 'l7'"))
-    assert many.bits[many.languages.index("l7")] == one.bits[0] > np.log2(li.SAMPLE_CHARS)
+    assert many.bits[many.languages.index("l7")] == one.bits[0] > np.log2(20_000)
 
 
 def test_foreign_texts_go(spark):
     rng = np.random.default_rng(4)
     say = {"one": _invented(rng, list("abcdefghijkl")), "two": _invented(rng, list("mnopqrstuvwx"))}
     rows = [(k, say[lang](200), lang) for k in range(60) for lang in say]
-    rows += [(1000, say["one"](50), None), (1001, say["two"](2), "two"), (1002, "".join(rng.choice(list("абвгде "), 300)), None), (1003, "".join(rng.choice(list("abcdefghijklmnopqrstuvwx "), 900)), "one"), (1004, "12", "one")]
+    rows += [(1000, say["one"](50), None), (1001, say["two"](2), "two"), (1002, "".join(rng.choice(list("абвгде "), 300)), None), (1003, "".join(rng.choice(list("abcdefghijklmnopqrstuvwx "), 900)), None), (1004, "12", "one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in li.keep_identified(docs, li.fit(docs)).collect()}
     assert kept == {*range(60), 1000, 1001}
+
+
+def test_a_stray_label_changes_no_other_prediction(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    stray = spark.createDataFrame([(-1, "ok a", "xx"), (-2, "hello", "yy")], docs.schema)
+    before = {r.doc_id: r.lang_pred for r in li.identify(docs, li.fit(docs)).collect()}
+    model = li.fit(docs.union(stray))
+    after = {r.doc_id: r.lang_pred for r in li.identify(docs, model).collect()}
+    long = {r.doc_id for r in docs.where("length(text) > 50").collect()}
+    assert len(long) > 900 and all(after[d] == before[d] for d in long)
+    noise = spark.createDataFrame([(1, "zq xk wv jj qz kx vw qq zk xw " * 9, None)], docs.schema)
+    assert np.isfinite(model.usual).all() and li.keep_identified(noise, model).collect() == []
+
+
+def test_a_language_of_long_texts_is_learned_from_all_of_them(spark):
+    rng = np.random.default_rng(5)
+    say = {"one": _invented(rng, list("abcdefghijklmnop")), "two": _invented(rng, list("abcdefghijklmnop")), "six": _invented(rng, list("abcdefghijklmnop"))}
+    rows = [(k, say["one"](3000), "one") for k in range(80)] + [(100, "abc", "one")]
+    rows += [(200 + k, say["two"](60), "two") for k in range(80)]
+    # the language begins with a page of another one
+    rows += [(300 + k, say["two"](400) + " " + say["six"](4000), "six") for k in range(20)]
+    rows += [(1000 + k, say[lang](40), None) for k, lang in enumerate(["one", "two", "six"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in li.identify(docs, li.fit(docs)).collect()}
+    assert all(got[1000 + k] == lang for k, lang in enumerate(["one", "two", "six"] * 30))
+
+
+def test_too_many_letters_are_refused():
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    with pytest.raises(ValueError, match="different letters"):
+        li.Automata({"all": "".join(letters[:70_000])})
