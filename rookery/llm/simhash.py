@@ -17,9 +17,10 @@ links, written to the shared folder after each round.
 The pipeline links by similarity instead (`similar_copies`): texts of Jaccard 0.8 on five words lie some
 ten bits apart, up to twenty, and segments short enough to be equal there tell nothing apart. So the
 signatures propose what they can, and besides texts that share one of the rarest fifth of their
-shingles are candidates, which no pair of 0.8 fails to do. Size, the shared shingle's place, a bitmap of
-parities (all three exact) and WIDE bits of SimHash reject nearly all other pairs inside the join, and
-the shingle sets themselves decide. Hot shingles come last in that order.
+shingles are candidates, which no pair of 0.8 fails to do. Size, the shared shingle's place and a bitmap of
+parities, all three exact, reject nearly all other pairs inside the join, and the shingle sets themselves
+decide. Hot shingles come last in that order. SimHash itself rejects no pair unless a `distance` under 64 is
+given: short texts of that similarity may differ in any number of bits.
 
 Defined results: a null text counts as empty; A-Z are lower-cased; words are runs of anything but
 ASCII white space; fewer words than a shingle are one shingle; a text without words has fingerprint
@@ -45,7 +46,8 @@ SEED = 42
 DISTANCE = 3
 BUCKET = 1024
 TASK_NODES = 100_000
-WIDE = 26
+#: Bits in which fingerprints of similar texts may differ: all of them.
+WIDE = 64
 MARK_BITS = 256
 SAMPLE = 8_000
 _CHUNK = 1 << 16
@@ -322,7 +324,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: floa
 
 
 def _can_be_similar(x: Column, y: Column, similarity: float, distance: int) -> Column:
-    """Whether two texts (n, fp, mark) may have the similarity: by size, marks and, if not all but surely, SimHash."""
+    """Whether two texts (n, fp, mark) may have the similarity: by size, marks and, if asked for, SimHash."""
     n = x["n"] + y["n"]
     apart = n * (1 - 2 * similarity / (1 + similarity)) + 1e-6
     bits = sum(F.bit_count(x["mark"][i].bitwiseXOR(y["mark"][i])) for i in range(MARK_BITS // 64))

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import corpus_pipeline
 import pytest
@@ -48,3 +49,20 @@ def test_group_and_chain(spark, monkeypatch, sample):
     want = plain_kept(texts)
     assert {0, 100, 300, 302, 304} | {200 + i for i in range(20)} == want
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == want
+
+
+def test_short_texts_of_the_similarity_are_linked(spark):
+    """Texts of 4 to 10 shingles: one word more or less is similar or not, whatever the fingerprints."""
+    rng = random.Random(11)
+    texts = {}
+    for i in range(20_000):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(rng.randint(8, 13))]
+        other = [*words, f"{rng.getrandbits(40):x}"] if i % 2 else words[1:]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(other)
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    sets = plain_sets(texts)
+    gone = {2 * i + 1 for i in range(20_000) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1]) - 1e-9}
+    assert 10_000 < len(gone)
+    far = [d for d in gone if (simhash.fingerprint(texts[d].encode(), 5) ^ simhash.fingerprint(texts[d - 1].encode(), 5)).bit_count() > 22]
+    assert far  # some are far apart in SimHash
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == set(texts) - gone
