@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import retrieval as R
 from ..sources.shared import shared_path
-from ..streaming import jobs
+from ..streaming import jobs, stateful
+from .queries_corpus import CHUNKS
 from .queries_usage import ROLLUP
 from .registry import query
 
@@ -69,3 +71,41 @@ def daily_activity_stream(d):
 )
 def quota_stream(d):
     return finished(d, jobs.count_quota(log_stream(d, 1000)).select("id", "employee_id", F.col("used")), "quota")
+
+
+@query(
+    "st4_embedding_stream",
+    CHUNKS
+    + r""" SELECT doc_id, chunk_index, content, CASE WHEN regexp_matches(content, '[\p{L}\p{N}]') THEN 64 END AS size, CASE WHEN regexp_matches(content, '[\p{L}\p{N}]') THEN CAST(1 AS DOUBLE) END AS norm FROM chunks""",
+)
+def embedding_stream(d):
+    path = shared_path(d.spark, "embedding-stream")
+    d.documents.select("doc_id", "text").repartition(8).write.parquet(f"{path}/in")
+    table = stateful.embedding_stream(jobs.read_stream(d.spark, f"{path}/in", d.documents.select("doc_id", "text").schema, 3), f"{path}/out", f"{path}/checkpoint")
+    norm = F.round(R.dot(F.col("embedding"), F.col("embedding")), 4)
+    size = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    return table.read().select("doc_id", "chunk_index", "content", size.alias("size"), norm.alias("norm"))
+
+
+@query(
+    "st8_alert_stream",
+    """WITH t AS (SELECT id, company_id, timestamp, sum(total_tokens) OVER (PARTITION BY company_id ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS total FROM chat_history WHERE company_id IS NOT NULL),
+ l AS (SELECT *, CASE WHEN total * 100.0 / 50000 >= 95 THEN 'critical' WHEN total * 100.0 / 50000 >= 80 THEN 'warning' ELSE 'safe' END AS level FROM t),
+ b AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY company_id ORDER BY timestamp, id), 'safe') AS before FROM l) SELECT company_id, id, level, CAST(total AS BIGINT) AS total FROM b WHERE level <> before""",
+)
+def alert_stream(d):
+    path = shared_path(d.spark, "alerts")
+    return stateful.run_state(stateful.alert_stream(log_stream(d, 20), 50_000), f"{path}/out", f"{path}/checkpoint")
+
+
+@query(
+    "st7_expired_stream",
+    """WITH e AS (SELECT concat(query_text, '|', user_id) AS cache_key, id, created_at AS t, lead(created_at) OVER (PARTITION BY query_text, user_id ORDER BY created_at, CAST(id AS VARCHAR)) AS next FROM search_performance_log WHERE user_id IS NOT NULL)
+ SELECT cache_key, id FROM e WHERE CASE WHEN next IS NULL THEN t + INTERVAL 6 HOURS < (SELECT max(t) FROM e) ELSE next > t + INTERVAL 6 HOURS END""",
+)
+def expired_stream(d):
+    path = shared_path(d.spark, "cache")
+    entries = d.search_performance_log.where("user_id IS NOT NULL").select(F.concat_ws("|", "query_text", "user_id").alias("cache_key"), "id", F.col("created_at").alias("timestamp"))
+    jobs.write_by_day(entries, f"{path}/in")
+    stream = jobs.read_stream(d.spark, f"{path}/in", d.spark.read.parquet(f"{path}/in").schema, 20)
+    return stateful.run_state(stateful.expired_stream(stream, 6), f"{path}/out", f"{path}/checkpoint")

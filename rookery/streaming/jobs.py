@@ -81,6 +81,11 @@ class RollupTable:
         delta = monthly_rollup(batch)
         new = merge_rollup(self.spark.read.parquet(f"{self.path}/v={before[-1]}"), delta, ROLLUP_KEYS) if before else delta
         new.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        # a replay of this batch reads the last one before it
+        jvm = self.spark.sparkContext._jvm
+        for v in before[:-1]:
+            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def stream_rollup(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
