@@ -7,8 +7,26 @@ from pyspark.sql import functions as F
 
 #: What broken decoding leaves behind.
 REPLACED = "�"
-FONT_CODE = r"\(cid:[0-9]+\)"
-BROKEN = [r"\?{5,}", REPLACED + "{3,}", FONT_CODE, "縺ゅ→縺", "迺ｾ遶", "繧ｳ繝ｳ繝斐Η繝ｼ繧ｿ"]
+BROKEN = [
+    r"\?{5,}",
+    r"[\uFFFD]{3,}",
+    "繧\x92繧\x93",
+    "縺\x84縺\x86",
+    "讒\x81讒\x82",
+    "繝\x81繝\x82",
+    "縺ゅ→縺",
+    "迺ｾ遶",
+    r"荳\?蟋",
+    "繧ｳ繝ｳ繝斐Η繝ｼ繧ｿ",
+    r"\(cid:\d+\)",
+]
+#: Broken runs of a page. Word characters are letters, digits and the underscore of any script.
+PAGE_RUNS = [
+    "ï¿½+",
+    r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9F}]{3,}",
+    r"[^\p{L}\p{N}_\t\n\x0b\f\r \x{3000}-\x{30FF}\x{4E00}-\x{9FAF}\x{3400}-\x{4DBF}]{10,}",
+    r"\d+\(\)\[",
+]
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 SCRIPT = r"[A-Za-z\x{C0}-\x{24F}\x{3040}-\x{30FF}\x{4E00}-\x{9FAF}]"
 
@@ -60,8 +78,7 @@ def damaged_table(text: Column) -> Column:
 
 def damaged_page(text: Column) -> Column:
     """Over 5 broken runs, or more than two in a hundred characters."""
-    runs = [r"(?:ï¿½)+", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9F}]{3,}", r"[0-9]+\(\)\["]
-    count = sum((F.regexp_count(text, F.lit(r)) for r in runs), F.lit(0))
+    count = sum((F.regexp_count(text, F.lit(r)) for r in PAGE_RUNS), F.lit(0))
     return (F.char_length(text) >= 10) & ((count > 5) | (count / F.greatest(F.char_length(text), F.lit(1)) * 100 > 2.0))
 
 

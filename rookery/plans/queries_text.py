@@ -11,7 +11,8 @@ from .registry import query
 
 #: Stored texts, most of them damaged in one way or another.
 DAMAGED = """SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN concat(repeat('(cid:3)', 6), text) WHEN 2 THEN replace(text, ' ', chr(1)) WHEN 3 THEN concat('what??????', text)
- WHEN 4 THEN concat(repeat('ï¿½ ', 7), text) WHEN 5 THEN repeat('.', 30) WHEN 6 THEN concat(text, repeat(' ', 9 * length(text))) WHEN 7 THEN concat(text, '�') ELSE text END AS t FROM documents"""
+ WHEN 4 THEN concat(repeat('ï¿½ ', 7), text) WHEN 5 THEN repeat('.', 30) WHEN 6 THEN concat(text, repeat(' ', 9 * length(text))) WHEN 7 THEN concat(text, '�')
+ WHEN 8 THEN concat(text, CASE doc_id % 7 WHEN 0 THEN '縺ゅ→縺' WHEN 1 THEN '迺ｾ遶' WHEN 2 THEN '荳?蟋' WHEN 3 THEN '繧ｳ繝ｳ繝斐Η繝ｼ繧ｿ' WHEN 4 THEN concat('繧', chr(146), '繧', chr(147)) WHEN 5 THEN repeat('😀', 12) ELSE '���' END) ELSE text END AS t FROM documents"""
 _SHARE = "len(regexp_extract_all(t, '{p}')) / greatest(length(t), 1)"
 _SCRIPT = r"[A-Za-z\x{C0}-\x{24F}\x{3040}-\x{30FF}\x{4E00}-\x{9FAF}]"
 _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -25,11 +26,11 @@ def damaged_texts(d):
     "t8_t10_damaged_texts",
     f"""WITH x AS ({DAMAGED}), s AS (SELECT doc_id, t, length(t) AS n, {_SHARE.format(p=_SCRIPT)} AS script, {_SHARE.format(p=chr(10))} AS breaks, {_SHARE.format(p=' ')} AS spaces,
  {_SHARE.format(p=_CONTROL)} AS controls, {_SHARE.format(p='[^' + chr(92) + 'x00-' + chr(92) + 'x7F]+')} AS runs, {_SHARE.format(p=chr(92) + 'p{L}')} AS letters,
- contains(t, '�') AS replaced, (length(t) - length(replace(t, '(cid:', ''))) / 5 AS codes, len(regexp_extract_all(t, '(?:ï¿½)+')) + len(regexp_extract_all(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9F}}]{{3,}}')) + len(regexp_extract_all(t, '[0-9]+\\(\\)\\[')) AS broken,
+ contains(t, '�') AS replaced, (length(t) - length(replace(t, '(cid:', ''))) / 5 AS codes, length(t) - length(replace(t, '�', '')) AS replaces, len(regexp_extract_all(t, '[\\x{{10000}}-\\x{{10FFFF}}]')) / greatest(length(t), 1) AS beyond, len(regexp_extract_all(t, 'ï¿½+')) + len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}_\\t\\n\\x0b\\f\\r \\x{{3000}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FAF}}\\x{{3400}}-\\x{{4DBF}}]{{10,}}')) + len(regexp_extract_all(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9F}}]{{3,}}')) + len(regexp_extract_all(t, '[0-9]+\\(\\)\\[')) AS broken,
  list_max(list_transform(list_filter(list_distinct(string_split(t, '')), lambda c: c <> ''), lambda c: length(t) - length(replace(t, c, '')))) / greatest(length(t), 1) AS commonest,
  n < 50 AND NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]') AS bare FROM x)
- SELECT doc_id, trim(t) = '' OR replaced OR codes > 5 OR (replaced::INT + bare::INT + (script < 0.05)::INT + (breaks > 0.6)::INT + (spaces > 0.8)::INT + (controls > 0.1)::INT + (n > 10 AND commonest > 0.3)::INT) >= 2 AS document,
- regexp_matches(t, '[?]{{5,}}') OR regexp_matches(t, '\\(cid:[0-9]+\\)') OR (n > 50 AND (controls > 0.15 OR runs > 1.0 / 3)) AS in_table,
+ SELECT doc_id, trim(t) = '' OR replaced OR codes > 5 OR beyond > 0.1 OR (replaced::INT + (beyond > 0.05)::INT + (replaces > 10)::INT + bare::INT + (script < 0.05)::INT + (breaks > 0.6)::INT + (spaces > 0.8)::INT + (controls > 0.1)::INT + (n > 10 AND commonest > 0.3)::INT) >= 2 AS document,
+ regexp_matches(t, '[?]{{5,}}') OR regexp_matches(t, '\\(cid:[0-9]+\\)') OR contains(t, '縺ゅ→縺') OR contains(t, '迺ｾ遶') OR contains(t, '荳?蟋') OR contains(t, '繧ｳ繝ｳ繝斐Η繝ｼ繧ｿ') OR contains(t, '繧' || chr(146) || '繧' || chr(147)) OR contains(t, '���') OR (n > 50 AND (controls > 0.15 OR runs > 1.0 / 3)) AS in_table,
  n >= 10 AND (broken > 5 OR broken * 100.0 / greatest(n, 1) > 2.0) AS page,
  trim(t) = '' OR replaced OR (length(trim(t)) < 50 AND NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]')) OR letters < 0.1 OR breaks > 0.5 AS image FROM s""",
 )
