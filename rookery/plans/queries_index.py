@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import quotas as K
 from ..operators import textindex as I
 from .queries_corpus import CHUNKS, WORDS, chunks_of
 from .registry import query
@@ -78,22 +79,99 @@ def regex(d):
     return I.regex_hits(plain.union(either).union(numbers), chunks_of(d))
 
 
-@query(
-    "r26_phrase_slop",
-    CHUNKS
-    + TWENTIETH
-    + f""", q AS (SELECT query_id, list_slice(w, 2, 3 + (doc_id // 20) % 3) AS w FROM own WHERE len(w) >= 2), qp AS (SELECT query_id, len(w) AS size, unnest(range(0, len(w))) AS number, unnest(w) AS word FROM q),
+#: Phrases of two to five words, and the chunks that hold them.
+PHRASES = f""", q AS (SELECT query_id, list_slice(w, 2, 3 + (doc_id // 20) % 3) AS w FROM own WHERE len(w) >= 2), qp AS (SELECT query_id, len(w) AS size, unnest(range(0, len(w))) AS number, unnest(w) AS word FROM q),
  cw AS (SELECT chunk_id, {WORDS.format(t="content", n=1)} AS w FROM chunks), cp AS (SELECT chunk_id, unnest(range(0, len(w))) AS position, unnest(w) AS word FROM cw),
  m AS (SELECT query_id, size, number, qp.word, chunk_id, position, position - number - o AS start, o FROM qp JOIN cp ON cp.word = qp.word, range(0, 3) AS r(o)),
  e AS (SELECT query_id, size, chunk_id, start, word, number, min(o) AS o FROM m GROUP BY ALL), f AS (SELECT query_id, chunk_id, start, word, count(DISTINCT position) AS places FROM m GROUP BY ALL),
  g AS (SELECT query_id, size, chunk_id, start, word, count(*) AS numbers, max(o) AS o FROM e GROUP BY ALL),
  h AS (SELECT query_id, chunk_id, start, size, sum(numbers) AS numbers, max(o) AS slack FROM g JOIN f USING (query_id, chunk_id, start, word) WHERE places >= numbers GROUP BY ALL),
- b AS (SELECT query_id, chunk_id, min(slack) AS slack FROM h WHERE numbers = size GROUP BY ALL) SELECT query_id, chunk_id, slack, round(1.0::DOUBLE / (1 + slack), 6) AS score FROM b""",
+ b AS (SELECT query_id, chunk_id, min(slack) AS slack FROM h WHERE numbers = size GROUP BY ALL)"""
+
+
+@query(
+    "r26_phrase_slop",
+    CHUNKS
+    + TWENTIETH
+    + PHRASES
+    + " SELECT query_id, chunk_id, slack, round(1.0::DOUBLE / (1 + slack), 6) AS score FROM b",
 )
 def phrase_slop(d):
-    own = twentieth(d)
+    return I.phrase_hits(phrases(d), chunks_of(d))
+
+
+def phrases(d):
     phrase = F.array_join(F.slice("w", F.lit(2), (2 + F.floor(F.col("doc_id") / 20) % 3).cast("int")), " ")
-    return I.phrase_hits(own.where(F.size("w") >= 2).select("query_id", phrase.alias("text")), chunks_of(d))
+    return twentieth(d).where(F.size("w") >= 2).select("query_id", phrase.alias("text"))
+
+
+#: Tiers of the phrases' chunks, of active documents and with their type.
+TYPED = """, aw AS (SELECT query_id, array_to_string(w, ' ') AS t, list_distinct(list_filter(w, lambda x: length(x) > 1)) AS ws FROM q),
+ tm AS (SELECT query_id, chunk_id, doc_id, contains(lower(content), t) AS whole, len(list_filter(ws, lambda x: contains(lower(content), x))) AS n, len(ws) AS size FROM aw, chunks WHERE length(content) > 10),
+ tier AS (SELECT query_id, chunk_id, doc_id, CASE WHEN whole THEN 2 WHEN n = size THEN 1 ELSE 0 END AS level FROM tm WHERE n > 0),
+ typed AS (SELECT query_id, chunk_id, s.type, level FROM tier JOIN document_sources s ON s.id = CAST(doc_id AS VARCHAR) WHERE s.active)"""
+
+
+def active_chunks(d):
+    chunks = chunks_of(d).where(F.char_length("content") > 10)
+    kinds = d.document_sources.where("active").select(F.col("id").cast("long").alias("doc_id"), "type")
+    return chunks.join(kinds, "doc_id").select("chunk_id", "content", "type")
+
+
+@query(
+    "r9_type_focused",
+    CHUNKS
+    + TWENTIETH
+    + PHRASES
+    + TYPED
+    + """ SELECT * FROM (SELECT query_id, chunk_id, type, CAST(level + 3 AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY level DESC, chunk_id) AS rank FROM typed WHERE type = 'excel') AS r WHERE rank <= 10""",
+)
+def type_focused(d):
+    chunks = active_chunks(d)
+    hits = K.tiered_matches(phrases(d), chunks, 5, 4, 3).join(chunks.select("chunk_id", "type"), "chunk_id")
+    return K.type_focused(hits, "excel", 10).select("query_id", "chunk_id", "type", "score", "rank")
+
+
+SHARED = """, own_rank AS (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY level DESC, chunk_id) AS own FROM typed),
+ shared AS (SELECT query_id, chunk_id, type, CAST(level + 2 AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY level DESC, chunk_id) AS rank FROM own_rank WHERE own <= CASE type WHEN 'pdf' THEN 3 WHEN 'excel' THEN 3 ELSE 2 END)"""
+
+
+@query("r10_type_quotas", CHUNKS + TWENTIETH + PHRASES + TYPED + SHARED + " SELECT * FROM shared WHERE rank <= 10")
+def type_quotas(d):
+    chunks = active_chunks(d)
+    hits = K.tiered_matches(phrases(d), chunks, 4, 3, 2).join(chunks.select("chunk_id", "type"), "chunk_id")
+    return K.share_by_type(hits, 10)
+
+
+@query(
+    "r36_staged_fallback",
+    CHUNKS
+    + TWENTIETH
+    + PHRASES
+    + TYPED
+    + SHARED
+    + f""", act AS (SELECT c.chunk_id, c.content, s.type FROM chunks c JOIN document_sources s ON s.id = CAST(c.doc_id AS VARCHAR) WHERE s.active AND length(content) > 10),
+ qq AS (SELECT DISTINCT query_id, word FROM qp), aww AS (SELECT chunk_id, word, count(*) AS n FROM (SELECT chunk_id, unnest({WORDS.format(t="content", n=1)}) AS word FROM act) GROUP BY ALL),
+ qs AS (SELECT query_id, count(*) AS size FROM qq GROUP BY 1),
+ every AS (SELECT query_id, chunk_id, round(sum(n / (n + 1.0::DOUBLE)) / any_value(size), 6) AS score FROM qq JOIN aww ON aww.word = qq.word JOIN qs USING (query_id) GROUP BY 1, 2 HAVING count(*) = any_value(size)),
+ un AS (SELECT b.query_id, b.chunk_id, round(1.0::DOUBLE / (1 + slack), 6) AS score, 0 AS no, 'phrase' AS stage, 3 AS least FROM b JOIN act USING (chunk_id) UNION ALL SELECT query_id, chunk_id, score, 1, 'words', 2 FROM every
+ UNION ALL SELECT query_id, chunk_id, score, 2, 'balanced', 1 FROM shared WHERE rank <= 10),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, no ORDER BY score DESC, chunk_id) AS rank FROM un), cn AS (SELECT *, count(*) OVER (PARTITION BY query_id, no) AS have FROM rk WHERE rank <= 10),
+ ch AS (SELECT *, min(no) OVER (PARTITION BY query_id) AS first FROM cn WHERE have >= least), hit AS (SELECT ch.*, act.type FROM ch JOIN act USING (chunk_id) WHERE no = first),
+ short AS (SELECT query_id FROM hit GROUP BY 1 HAVING count(*) FILTER (type = 'pdf') < 2 AND min(no) = 0),
+ more AS (SELECT query_id, chunk_id, CAST(level + 3 AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY level DESC, chunk_id) AS rank FROM typed WHERE type = 'pdf'),
+ two AS (SELECT query_id, chunk_id, score, rank, 0 AS part, stage FROM hit UNION ALL SELECT query_id, chunk_id, score, rank, 1, 'top-up' FROM more JOIN short USING (query_id) WHERE rank <= 5),
+ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part) AS r FROM two) AS t WHERE r = 1),
+ out AS (SELECT query_id, chunk_id, score, stage, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS rank FROM one) SELECT * FROM out WHERE rank <= 10""",
+)
+def staged_fallback(d):
+    chunks, asked = active_chunks(d), phrases(d)
+    kinds = chunks.select("chunk_id", "type")
+    tiers = I.written(K.tiered_matches(asked, chunks, 2, 1, 0).join(kinds, "chunk_id"), "fallback-tiers")
+    balanced = K.share_by_type(tiers.withColumn("score", F.col("score") + 2), 10)
+    chosen = K.first_sufficient([("phrase", I.phrase_hits(asked, chunks), 3), ("words", I.all_words_rank(asked, chunks), 2), ("balanced", balanced, 1)], 10)
+    more = K.type_focused(tiers.withColumn("score", F.col("score") + 3), "pdf", 5)
+    return K.top_up(chosen.join(kinds, "chunk_id"), more, "pdf", 2, "phrase", 5, 10)
 
 
 GRAM_SET = r"""list_distinct(flatten(list_transform(list_filter(string_split_regex({t}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rookery.functions import rules
-from rookery.operators import corpus, maintain, questions, refine, retrieval, usage
+from rookery.operators import corpus, maintain, questions, refine, retrieval, textindex, usage
 from rookery.plans.views import Domain
 
 
@@ -68,7 +68,7 @@ def test_chunks_cover_the_text(text):
 def test_trigram_similarity_is_symmetric(spark):
     texts = ["hello world", "hello word", "world hello", "other"]
     both = spark.createDataFrame([(str(i), t, t) for i, t in enumerate(texts)], "id string, text string, content string")
-    hits = retrieval.fuzzy_topk(both.withColumnRenamed("id", "query_id"), both.withColumnRenamed("id", "chunk_id"), threshold=0.0).collect()
+    hits = textindex.fuzzy_topk(both.withColumnRenamed("id", "query_id"), both.withColumnRenamed("id", "chunk_id"), threshold=0.0).collect()
     found = {(h.query_id, h.chunk_id): h.similarity for h in hits}
     assert all(found[b, a] == s and 0 <= s <= 1 for (a, b), s in found.items()) and found["0", "0"] == found["0", "2"] == 1.0
 
