@@ -90,8 +90,8 @@ def vector_checks(d):
     return d.chunk_vectors.select("chunk_id", F.col("embedding").isNotNull().alias("present"), (F.size("embedding") == 64).alias("right_size"))
 
 
-@query("t15_text_sections", CHUNKS + " SELECT doc_id, count(*) AS parts, CAST(sum(length(content)) AS BIGINT) AS chars FROM chunks GROUP BY 1")
-def text_sections(d):
+@query("t1_parts_by_document", CHUNKS + " SELECT doc_id, count(*) AS parts, CAST(sum(length(content)) AS BIGINT) AS chars FROM chunks GROUP BY 1")
+def parts_by_document(d):
     return chunks_of(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("char_count").alias("chars"))
 
 
