@@ -71,6 +71,17 @@ def test_documents_against_brute_force(spark):
     assert rows_of(op12_spelling(spark, sf)) == want
 
 
+def test_sql_twin_against_brute_force():
+    import duckdb
+
+    from rookery.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = brute(brute_counts(con.execute("SELECT doc_id, text FROM documents").fetchall()))
+    assert sorted(con.execute(ORACLES["op12_spelling"]).fetchall()) == want
+
+
 def test_near_words_of_every_kind(spark):
     rng = random.Random(7)
     words = {"aaaaaa", "aaaaaaa", "aaaaaaaa", "baaaaa", "aaaaab", "àaaaaa", "àaaaaÿ", "ßßßßßß", "ßßßßßßß"}
