@@ -17,13 +17,13 @@ the number of its repeat, so that it is its own.
 
 Scale: equal payloads are found on (digest, page_id) rows only, grouped with partial aggregation;
 whole pages move once, to be range-sorted, and meet their decisions there (a decision without its page
-is an error). Shards are of one size however many pages there are. A task holds one page and
+is an error). Shards hold about as many pages each. A task holds one page and
 one file buffer; a reading task opens its files itself. Files are written through the file system that the shared
 folder's URI names (local, hdfs, s3, gs).
 
 Defined results: a null html is an empty payload; a null url becomes an empty target; a null
-page_id is written without that header and read back as null (it is never the first of equal ones
-unless all are null); repeated rows become records of their own; an empty table gives an empty
+page_id is written without that header and read back as null (it revisits the first
+that has an id; payloads that only null ids have are all responses); repeated rows become records of their own; an empty table gives an empty
 manifest and an empty result; other columns are not written.
 """
 
@@ -120,14 +120,14 @@ def decode_records(stream) -> Iterator[tuple]:
 
 
 def find_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, sha, refers_to, refers_url: the pages whose payload an earlier page_id has, by SHA-1, with that page."""
+    """page_id, sha, refers_to, refers_url: the pages whose payload an earlier page_id has, by SHA-1, with that page. Null ids come after all others."""
     payload = F.coalesce("html", F.lit(""))
     url = F.coalesce("url", F.lit(""))
     keyed = pages.select("page_id", url.alias("url"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size"))
     named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     first = keyed.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("n"))
     again = first.where("n > 1").drop("n")
-    met = keyed.join(again, ["sha", "size"]).where("page_id > first.page_id")
+    met = keyed.join(again, ["sha", "size"]).where("page_id > first.page_id OR (page_id IS NULL AND first.page_id IS NOT NULL)")
     return met.select("page_id", "sha", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")).distinct()
 
 

@@ -14,7 +14,7 @@ def plain(rows):
         body = (html or "").encode()
         same = [r[0] for r in rows if (r[2] or "") == (html or "") and r[0] is not None]
         first = min(same, default=None)
-        refers = first if p is not None and first is not None and p > first else None
+        refers = first if first is not None and (p is None or p > first) else None
         out.append((p, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if refers is not None else "response", refers))
     return sorted(map(repr, out))
 
@@ -62,7 +62,16 @@ def test_large_ids_beside_null_ones(spark):
     for size in (warc.SHARD_BYTES, 500):
         got = warc.read_warc(spark, _written(frame, size))
         assert found(got) == plain(rows)
-        assert got.where("record_type = 'response'").count() == 2
+        assert got.where("record_type = 'response'").count() == 1
+
+
+def test_null_ids_revisit_and_alone_are_responses(spark):
+    rows = [(None, "http://n/", "same", "x", 1), (3, "http://a/", "same", "x", 1), (5, "http://b/", "same", "x", 1), (None, "http://m/", "same", "x", 1)]
+    rows += [(None, "http://k/", "only null", "x", 1), (None, "http://l/", "only null", "x", 1), (None, "http://k/", None, "x", 1)]
+    frame = spark.createDataFrame(rows, PAGES).repartition(3)
+    got = warc.round_trip(frame)
+    assert found(got) == plain(rows)
+    assert got.where("page_id IS NULL AND record_type = 'revisit' AND refers_to = 3").count() == 2
 
 
 def _written(frame, shard_bytes):
