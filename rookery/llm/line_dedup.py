@@ -15,8 +15,9 @@ a set, so that the work is linear in its lines, and all others pass unread.
 Defined results: null or empty text is one empty line; a key is the line stripped of ASCII white
 space with A-Z lower-cased and counts once a document however often it occurs; doc_id is taken as
 unique, and rows that repeat it count as documents of their own of which all keep their lines when
-theirs is the largest doc_id; a null doc_id counts but never is the largest; an empty table gives
-an empty result; other columns are not read.
+theirs is the largest doc_id; a null doc_id counts and never is the largest, so that its document
+loses the line if any document with an id holds it (lines that only null ids hold all stay); an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -103,10 +104,16 @@ class LineRuns:
         return runs[0] if len(runs) == 1 else self.merged(runs)
 
 
+def other_id(doc_id: Column, text: Column) -> Column:
+    """What tells documents without a doc_id apart: a hash of their text; 0 for the others."""
+    return F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
 def hashed_lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """doc_id, h: one row for each key of a document that is long enough."""
+    """doc_id, other, h: one row for each key of a document that is long enough."""
     keys = F.filter(F.array_distinct(line_keys(F.coalesce("text", F.lit("")))), lambda k: F.char_length(k) >= least_chars)
-    return docs.select("doc_id", F.explode(keys).alias("key")).select("doc_id", line_hash(F.col("key")).alias("h"))
+    other = other_id(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", other.alias("other"), F.explode(keys).alias("key")).select("doc_id", "other", line_hash(F.col("key")).alias("h"))
 
 
 def _without_lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +145,9 @@ def drop_frequent_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
         store.add(lines.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(batches)) == i))
     frequent = store.counts().where(F.col("n") >= least_docs).select("h", "last")
     losing = lines.join(frequent, "h").where(~F.col("doc_id").eqNullSafe(F.col("last")))
-    lost = losing.groupBy("doc_id").agg(F.collect_list("h").alias("lost"))
-    both = docs.join(lost, "doc_id", "left").select("doc_id", "text", "lost")
+    key = F.coalesce("doc_id", F.lit(0)).alias("id"), "other"
+    # rows that repeat a document name its lines more than once
+    lost = losing.select(*key, "h").groupBy("id", "other").agg(F.collect_set("h").alias("lost"))
+    both = docs.select("*", other_id(F.col("doc_id"), F.col("text")).alias("other")).select("*", key[0])
+    both = both.join(lost, ["id", "other"], "left").select("doc_id", "text", "lost")
     return both.mapInArrow(_without_lost, "doc_id long, kept_text string, n_lines long, n_dropped long")

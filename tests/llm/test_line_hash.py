@@ -63,3 +63,15 @@ def test_many_lines(spark):
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text[-5:]) for r in line_dedup.drop_frequent_lines(docs).collect()}
     assert got == {i: (20_001, 20_000 if i < 5 else 0, f"own {i}") for i in range(6)}
     assert time.time() - began < 40
+
+
+def test_null_ids_lose_lines_like_others(spark):
+    line = "a line of at least forty characters, shared by many documents"
+    other = "another line of at least forty characters, which only null ids hold"
+    rows = [(i, f"own {i}\n{line}") for i in range(1, 7)] + [(None, f"x\n{line}\n{other}"), (None, f"y\n{line}\n{other}"), (None, f"y\n{line}\n{other}")]
+    rows += [(None, f"z{i}\n{other}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r.doc_id), r.kept_text, r.n_dropped) for r in line_dedup.drop_frequent_lines(df).collect())
+    want = [(str(i), f"own {i}" if i < 6 else f"own {i}\n{line}", int(i < 6)) for i in range(1, 7)]
+    want += [("None", f"{c}\n{other}", 1) for c in "xyy"] + [("None", f"z{i}\n{other}", 0) for i in range(4)]
+    assert got == sorted(want)
