@@ -76,3 +76,26 @@ def top_up(hits: DataFrame, more: DataFrame, kind: str, least: int, stage: str,
     once = both.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("part"))).where("r = 1").drop("r")
     placed = once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("part", "rank"))).where(F.col("place") <= k)
     return placed.select("query_id", "chunk_id", "score", "stage", F.col("place").alias("rank"))
+
+
+def vector_with_type_backfill(queries: DataFrame, hits: DataFrame, unembedded: DataFrame, newest: DataFrame, k: int = 20, add: int = 10, gate: int = 15) -> DataFrame:
+    """query_id, chunk_id, score, source, rank: hits of a vector search, filled up where there are few.
+
+    A query (query_id) with fewer than `k` hits gets up to `add` chunks without vectors (`unembedded`: chunk_id,
+    of the wanted type) at 0.5; one that then has fewer than `gate` gets the `gate` newest (`newest`: chunk_id,
+    at) at 0.4. A chunk counts once, for what found it first. Both lists are cut to those few rows, which is what
+    tasks receive.
+    """
+
+    def filled(rows: DataFrame, order: list, most: int, part: int, score: float, source: str) -> DataFrame:
+        ids = [r["chunk_id"] for r in rows.orderBy(*order).limit(most).collect()]
+        some = F.array(*map(F.lit, ids)).cast("array<string>")
+        return queries.select("query_id", F.explode(some).alias("chunk_id"), F.lit(score).alias("score"), F.lit(source).alias("source"), F.lit(part).alias("part"))
+
+    rows = hits.select("query_id", "chunk_id", F.col("score").cast("double").alias("score"), F.lit("vector").alias("source"), F.lit(0).alias("part"))
+    rows = rows.unionByName(filled(unembedded, [F.col("chunk_id")], add, 1, 0.5, "type")).unionByName(filled(newest, [F.desc("at"), F.col("chunk_id")], gate, 2, 0.4, "newest"))
+    of_query = Window.partitionBy("query_id")
+    counted = rows.withColumn("own", F.count_if(F.col("part") == 0).over(of_query)).where((F.col("part") == 0) | (F.col("part") == 2) | (F.col("own") < k))
+    once = counted.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("part"))).where("r = 1")
+    gated = once.withColumn("n", F.count_if(F.col("part") < 2).over(of_query)).where((F.col("part") < 2) | (F.col("n") < gate))
+    return top_k(gated.select("query_id", "chunk_id", "score", "source"), k)

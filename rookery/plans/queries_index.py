@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quotas as K
 from ..operators import textindex as I
+from ..operators.retrieval import vector_topk
 from .queries_corpus import CHUNKS, WORDS, chunks_of
 from .registry import query
 
@@ -226,3 +227,23 @@ def ngram_multi_field(d):
     titles = d.documents.select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
     asked = d.benchmark.where("item_id % 20 = 0").select(F.col("item_id").cast("string").alias("query_id"), "text")
     return I.ngram_multi_field(asked, chunks_of(d).join(titles, "doc_id"))
+
+
+@query(
+    "r19_type_backfill",
+    """WITH v AS (SELECT q.chunk_id AS query_id, c.chunk_id, round(CAST(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
+ / sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) AS DOUBLE), 5) AS score FROM chunk_vectors q, chunk_vectors c WHERE CAST(q.chunk_id AS INT) % 20 = 0),
+ h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM v) AS t WHERE r <= 20 AND score >= 0.3), q AS (SELECT DISTINCT query_id FROM v),
+ miss AS (SELECT id AS chunk_id FROM document_sources WHERE type = 'excel' AND active AND page_count > 1 ORDER BY id LIMIT 10), new AS (SELECT id AS chunk_id FROM document_sources WHERE active ORDER BY CAST(id AS BIGINT) DESC, id LIMIT 15),
+ n0 AS (SELECT query_id, count(h.chunk_id) AS own FROM q LEFT JOIN h USING (query_id) GROUP BY 1),
+ a AS (SELECT query_id, chunk_id, score, 'vector' AS source, 0 AS part FROM h UNION ALL SELECT query_id, chunk_id, 0.5, 'type', 1 FROM n0, miss WHERE own < 20 UNION ALL SELECT query_id, chunk_id, 0.4, 'newest', 2 FROM q, new),
+ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part) AS r FROM a) AS t WHERE r = 1), g AS (SELECT *, count(*) FILTER (part < 2) OVER (PARTITION BY query_id) AS n FROM o),
+ k AS (SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, source FROM g WHERE part < 2 OR n < 15)
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k) AS t WHERE rank <= 20""",
+)
+def type_backfill(d):
+    asked = d.chunk_vectors.where("CAST(chunk_id AS INT) % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    hits = vector_topk(asked, d.chunk_vectors, 20).where("score >= 0.3").drop("rank")
+    missing = d.document_sources.where("type = 'excel' AND active AND page_count > 1").select(F.col("id").alias("chunk_id"))
+    newest = d.document_sources.where("active").select(F.col("id").alias("chunk_id"), F.col("id").cast("long").alias("at"))
+    return K.vector_with_type_backfill(asked.select("query_id"), hits, missing, newest)
