@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
 
 
 def load() -> None:
-    from . import queries_analytics, queries_characters, queries_corpus, queries_extras, queries_headings, queries_index, queries_intents, queries_questions, queries_refine, queries_search, queries_sheets, queries_sources, queries_streaming, queries_tables, queries_text, queries_usage  # noqa: F401
+    from . import queries_analytics, queries_characters, queries_corpus, queries_extras, queries_headings, queries_index, queries_intents, queries_lateral, queries_questions, queries_refine, queries_search, queries_sheets, queries_sources, queries_streaming, queries_tables, queries_text, queries_usage  # noqa: F401
 
 
 load()
