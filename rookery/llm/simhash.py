@@ -48,7 +48,9 @@ BUCKET = 1024
 TASK_NODES = 100_000
 #: Bits in which fingerprints of similar texts may differ: all of them.
 WIDE = 64
-MARK_BITS = 256
+MARK_BITS = 512
+#: Texts of over so many shingles have longer marks as well, of so many bits.
+WIDE_MARKS = [(8_000, 1 << 15), (1_000, 1 << 12)]
 SAMPLE = 8_000
 _CHUNK = 1 << 16
 
@@ -271,11 +273,17 @@ def common_shingles(nodes: DataFrame, shingle: int, sample: int = SAMPLE) -> tup
     return found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
+def _mark(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the shingles that fall to each of so many bits, as longs."""
+    odd = np.bincount(shingles & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _prefixes(nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """node, n, fp, mark, keys: so many of each text's rarest shingles that two texts of `similarity` share one.
+    """node, n, fp, mark, wide, keys: so many of each text's rarest shingles that two texts of `similarity` share one.
 
     `mark` has MARK_BITS bits, each the parity of the shingles that fall to it, so two texts differ in at
-    least as many shingles as their marks in bits.
+    least as many shingles as their marks in bits; `wide` has the bits of WIDE_MARKS for long texts.
     """
     shared = nodes.sparkSession.sparkContext.broadcast(common_shingles(nodes, shingle))
 
@@ -284,7 +292,7 @@ def _prefixes(nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                sizes, prints, marks, keys = [], [], [], []
+                sizes, prints, marks, wide, keys = [], [], [], [], []
                 for t in some.column("text").cast(pa.binary()).to_pylist():
                     hashes = shingle_hashes(t, shingle)
                     own = np.unique(hashes).view(np.int64)
@@ -297,16 +305,27 @@ def _prefixes(nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     keys.append(own[np.lexsort((own, seen))[: n - int(np.ceil(round(similarity * n, 6))) + 1]])
                     sizes.append(n)
                     prints.append(_bits(hashes))
-                    odd = np.bincount(own & (MARK_BITS - 1), minlength=MARK_BITS) & 1
-                    marks.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                    marks.append(_mark(own, MARK_BITS))
+                    wide.append(next((_mark(own, bits) for least, bits in WIDE_MARKS if n > least), None))
                 longs = pa.list_(pa.int64())
-                columns = [pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(marks, longs), pa.array(keys, longs)]
-                yield pa.RecordBatch.from_arrays([some.column("node"), *columns], ["node", "n", "fp", "mark", "keys"])
+                columns = [pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(marks, longs), pa.array(wide, longs), pa.array(keys, longs)]
+                yield pa.RecordBatch.from_arrays([some.column("node"), *columns], ["node", "n", "fp", "mark", "wide", "keys"])
+
+    return nodes.select("node", "text").mapInArrow(each, "node long, n long, fp long, mark array<long>, wide array<long>, keys array<long>")
+
 
-    return nodes.select("node", "text").mapInArrow(each, "node long, n long, fp long, mark array<long>, keys array<long>")
+def _passing(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the longer marks of long texts don't reject, before any text is read."""
+    long = prints.where("wide IS NOT NULL")
+    x, y = (long.select(F.col("node").alias(c), F.struct("n", "wide").alias(f"t_{c}")) for c in ("a", "b"))
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    bits = F.aggregate(F.zip_with("t_a.wide", "t_b.wide", lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, n: s + n)
+    apart = (F.col("t_a.n") + F.col("t_b.n")) * (1 - 2 * similarity / (1 + similarity)) + 1e-6
+    same = F.size("t_a.wide") == F.size("t_b.wide")
+    return both.where(F.coalesce(~same | (bits <= apart), F.lit(True))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, prints: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have the similarity."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +335,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: floa
             near = pa.array([similarity_of(x, y) >= similarity - 1e-9 for x, y in sets], pa.bool_())
             yield b.select(["a", "b"]).filter(near)
 
+    pairs = materialise(_passing(pairs, prints, similarity), "similar-passing")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = materialise(nodes.join(asked, "node", "left_semi"), "similar-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
@@ -364,7 +384,7 @@ def similar_links(nodes: DataFrame, shingle: int, similarity: float, distance: i
     prints = materialise(_prefixes(nodes, shingle, similarity), "similar-prints")
     keys = prints.select(F.posexplode("keys").alias("pos", "key"), "node").repartition("key")
     repeated = keys.groupBy("key").count().where("count > 1").select("key")
-    shared = keys.join(repeated, "key").join(prints.drop("keys"), "node")
+    shared = keys.join(repeated, "key").join(prints.drop("keys", "wide"), "node")
     shared = materialise(shared.select("key", F.struct("node", "pos", "n", "fp", "mark").alias("x")), "similar-shared")
     ends = shared.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     met = shared.join(ends, "key")
@@ -372,7 +392,7 @@ def similar_links(nodes: DataFrame, shingle: int, similarity: float, distance: i
     stars = met.select(F.col("low").alias("x"), F.col("x").alias("y")).unionByName(met.select("x", F.col("high").alias("y")))
     stars = stars.where((x["node"] < y["node"]) & _can_be_similar(x, y, similarity, distance)).select(x["node"].alias("a"), y["node"].alias("b"))
     stars = materialise(stars.unionByName(_signature_pairs(prints, similarity, distance)).distinct(), "similar-pairs")
-    first = _verified(stars, nodes, shingle, similarity)
+    first = _verified(stars, nodes, prints, shingle, similarity)
 
     roots = connected_components(first).withColumnRenamed("node", "n")
     rooted = shared.join(roots, shared["x"]["node"] == roots["n"], "left").select("key", "x", F.coalesce("root", x["node"]).alias("root"))
@@ -386,7 +406,7 @@ def similar_links(nodes: DataFrame, shingle: int, similarity: float, distance: i
     pairs = left.join(other, "key").where((F.col("root") != F.col("root_y")) & once & _meet(x, y, similarity, distance))
     pairs = pairs.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
     pairs = materialise(pairs.join(stars, ["a", "b"], "left_anti"), "similar-pairs")
-    return first.unionByName(_verified(pairs, nodes, shingle, similarity))
+    return first.unionByName(_verified(pairs, nodes, prints, shingle, similarity))
 
 
 def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = WIDE) -> DataFrame:

@@ -66,3 +66,20 @@ def test_short_texts_of_the_similarity_are_linked(spark):
     far = [d for d in gone if (simhash.fingerprint(texts[d].encode(), 5) ^ simhash.fingerprint(texts[d - 1].encode(), 5)).bit_count() > 22]
     assert far  # some are far apart in SimHash
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == set(texts) - gone
+
+
+def test_long_texts_of_the_similarity_are_linked(spark):
+    """Texts with the longer marks: those just similar enough, and others that share a passage."""
+    rng = random.Random(12)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    texts, passage = {}, [word() for _ in range(60)]
+    for i, n in enumerate([950, 1000, 1005, 1010, 1500, 7990, 8003, 8010, 12000]):
+        words = [word() for _ in range(n)] + passage
+        at = rng.randrange(n)
+        near = words[:at] + [word() for _ in range(n // 10)] + words[at + n // 10 :]  # 0.81 to 0.82
+        far = words[:at] + [word() for _ in range(n // 8)] + words[at + n // 8 :]  # 0.77
+        texts |= {10 * i: " ".join(words), 10 * i + 1: " ".join(near), 10 * i + 2: " ".join(far)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    want = plain_kept(texts)
+    assert len(texts) - len(want) >= 9
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == want
