@@ -48,7 +48,7 @@ BUCKET = 1024
 TASK_NODES = 100_000
 #: Bits in which fingerprints of similar texts may differ: all of them.
 WIDE = 64
-MARK_BITS = 512
+MARK_BITS = 768
 #: Texts of over so many shingles have longer marks as well, of so many bits.
 WIDE_MARKS = [(8_000, 1 << 15), (1_000, 1 << 12)]
 SAMPLE = 8_000
@@ -275,7 +275,7 @@ def common_shingles(nodes: DataFrame, shingle: int, sample: int = SAMPLE) -> tup
 
 def _mark(shingles: np.ndarray, bits: int) -> np.ndarray:
     """Parities of the shingles that fall to each of so many bits, as longs."""
-    odd = np.bincount(shingles & (bits - 1), minlength=bits) & 1
+    odd = np.bincount((shingles.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
