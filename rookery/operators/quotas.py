@@ -6,11 +6,16 @@ that no stage is run query by query.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .retrieval import top_k
-from .textindex import substring_hits, written
+from .textindex import QUERIES, ROWS, Demands, Finder, bits_of, few_at_once, in_blocks, mask_of, substring_hits, written
 
 #: Kinds of documents, in the order in which they get places that are left over.
 TYPES = ["pdf", "excel", "word", "text"]
@@ -33,18 +38,81 @@ def tiered_matches(queries: DataFrame, chunks: DataFrame, whole: float, every: f
     return rows.select("query_id", "chunk_id", score.cast("double").alias("score"))
 
 
+def tiered_best(queries: DataFrame, chunks: DataFrame, whole: float, every: float, some: float, k: int, block: int = QUERIES) -> DataFrame:
+    """query_id, chunk_id, type, score: rows of `tiered_matches`, with all of the k best of each query and type (ties by chunk) among them.
+
+    Chunks have a `type`. A task takes its chunks in order of their names and leaves out hits of a query that
+    has k of the type as good already, so that a word of every chunk makes few rows.
+    """
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.lower("text").alias("text"))
+    words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: F.char_length(w) > 1))
+    asked = written(asked.select("query_id", "text", words.alias("words")).where(F.size("words") > 0), "tier-queries")
+    texts = chunks.select("chunk_id", F.lower("content").alias("low"), "type").where("content IS NOT NULL")
+    texts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("chunk_id")
+    return reduce(DataFrame.union, [_tier_block(rows, texts, [some, every, whole], k) for rows in in_blocks(asked, "query_id", block)])
+
+
+def _tier_block(rows: list, texts: DataFrame, scores: list[float], k: int) -> DataFrame:
+    demands = Demands((q, i, w) for q, r in enumerate(rows) for i, w in enumerate(r["words"]))
+    texts_asked: dict[str, list[int]] = {}
+    for q, r in enumerate(rows):
+        texts_asked.setdefault(r["text"], []).append(q)
+    wholes = {t: mask_of(np.array(own)) for t, own in texts_asked.items()}
+    shared = texts.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], demands, wholes, Finder(demands.words | set(wholes))))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, demands, wholes, finder = shared.value
+        known: dict[str, tuple[np.ndarray, list[int]]] = {}
+        names_array = pa.array(names, pa.string())
+        out: list[tuple] = []
+        rows = 0
+
+        def batch() -> pa.RecordBatch:
+            sizes = [len(q) for q, *_ in out]
+            each = pa.array(np.repeat(np.arange(len(out)), sizes))
+            columns = [pa.array([x[i] for x in out], t).take(each) for i, t in ((1, pa.string()), (2, pa.string()), (3, pa.float64()))]
+            return pa.RecordBatch.from_arrays([names_array.take(pa.array(np.concatenate([x[0] for x in out]))), *columns], ["query_id", "chunk_id", "type", "score"])
+
+        for chunk, low, kind in few_at_once(batches):
+            # how many hits of a level or better each query has of the type, and the queries that have enough
+            counts, full = known.setdefault(kind, (np.zeros((3, len(names)), np.int32), [0, 0, 0]))
+            held = finder.held(low)
+            every, some = demands.met(held)
+            whole = some & reduce(int.__or__, (wholes[t] for t in held if t in wholes), 0)
+            for level, own in ((2, whole), (1, every & ~whole), (0, some & ~every & ~whole)):
+                if new := own & ~full[level]:
+                    hits = bits_of(new)
+                    out.append((hits, chunk, kind, float(scores[level])))
+                    rows += len(hits)
+                    for lower in range(level + 1):
+                        counts[lower, hits] += 1
+                        full[lower] |= mask_of(hits[counts[lower, hits] >= k])
+            if rows >= ROWS:
+                yield batch()
+                out, rows = [], 0
+        if out:
+            yield batch()
+
+    return texts.mapInArrow(find, "query_id string, chunk_id string, type string, score double")
+
+
 def type_focused(hits: DataFrame, kind: str, k: int) -> DataFrame:
     """The k best hits of each query (with a type) of one kind of document."""
     return top_k(hits.where(F.col("type") == kind), k)
 
 
+def places_by_type(k: int, types: list[str]) -> dict[str, int]:
+    """k places dealt evenly, what is left over to the first types."""
+    return {t: max(1, k // len(types)) + (i < k % len(types)) for i, t in enumerate(types)}
+
+
 def share_by_type(hits: DataFrame, k: int, types: list[str] | None = None) -> DataFrame:
     """query_id, chunk_id, type, score, rank: k places a query, dealt evenly to the types, what is left over to the first ones.
 
     A type with fewer hits leaves its places empty.
     """
     types = types or TYPES
-    places = {t: max(1, k // len(types)) + (i < k % len(types)) for i, t in enumerate(types)}
+    places = places_by_type(k, types)
     place = F.element_at(F.create_map(*[F.lit(x) for t, n in places.items() for x in (t, n)]), F.col("type"))
     own = Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "chunk_id")
     # the largest share bounds every type's, which lets Spark cut the groups before it moves them
