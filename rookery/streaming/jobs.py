@@ -20,16 +20,19 @@ from ..operators.maintain import merge_rollup
 from ..operators.usage import monthly_rollup
 
 ROLLUP_KEYS = ["company_id", "user_id", "year_month"]
+#: Files that a log is written as at most: each micro batch has a cost of its own, whatever its rows.
+FILES = 200
 
 
-def write_by_day(chat: DataFrame, path: str, rows_per_file: int = 2000) -> None:
+def write_by_day(chat: DataFrame, path: str, rows_per_file: int = 2000, most: int = FILES) -> None:
     """The log as one folder of files in event-time order, for file streams.
 
+    Files have about `rows_per_file` rows, or more where that would make more than `most` files.
     Files hold ranges of time that don't overlap, an instant is in one file only. File streams take files by
     modification time, so that is set in the order of the ranges, whichever task was done first.
     """
     rows = chat.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    files = max(1, -(-rows.count() // rows_per_file))
+    files = min(most, max(1, -(-rows.count() // rows_per_file)))
     rows.repartitionByRange(files, "timestamp").sortWithinPartitions("timestamp").write.parquet(path)
     spark = chat.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

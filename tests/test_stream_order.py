@@ -43,3 +43,11 @@ def test_hot_user_over_batches_and_triggers(spark, tmp_path):
     used = {r.id: r.used for r in collected(jobs.count_quota(stream()), f"{tmp_path}/quota").collect()}
     order = [r.id for r in stored.select("id").collect()]
     assert [used[i] for i in sorted(order, key=lambda i: (int(i) * 7919 % 26_000, i))] == list(range(1, 26_001))
+
+
+def test_long_logs_have_no_more_files(spark, tmp_path):
+    jobs.write_by_day(log_of(spark, 6000, 60), f"{tmp_path}/log", 10, 40)
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert 20 <= len(list((tmp_path / "log").glob("part-*.parquet"))) <= 40
+    found = jobs.stream_rollup(jobs.read_stream(spark, f"{tmp_path}/log", log.schema, 10), f"{tmp_path}/rollup", f"{tmp_path}/check")
+    assert rows(found) == rows(monthly_rollup(log).select(*found.columns))
