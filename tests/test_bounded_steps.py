@@ -36,3 +36,18 @@ def test_backfill_without_a_limit_has_all_pairs(spark):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 48 * (48 + 5) and out.where("score = 0.4D").select("chunk_id").distinct().count() >= 5
     assert sorted(map(tuple, retrieval.vector_pairs(asked, chunks, block=10).collect())) == sorted(map(tuple, retrieval.vector_pairs(asked, chunks).collect()))
+
+
+def test_bm25_tasks_keep_their_best(spark):
+    """A task puts out the best chunks it has seen, and not the best of every few of them."""
+    rows = [(f"{i:04}", "alpha beta" + " x" * i) for i in range(1000)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string").coalesce(1)
+    words = spark.createDataFrame([("q1", "alpha"), ("q2", "alpha"), ("q2", "beta")], "query_id string, keyword string")
+    stored = chunks.select("chunk_id", F.split("content", " ").alias("words")).coalesce(1)
+    asked = words.withColumn("df", F.lit(10)).collect()
+    hits, _ = retrieval._bm25_block(asked, stored, 1000, 500.0, 3, 1.2, 0.75)
+    assert {(r.query_id, r.chunk_id) for r in retrieval.top_k(hits, 3).collect()} == {(q, f"{i:04}") for q in ("q1", "q2") for i in range(3)}
+    assert hits.count() == 6  # of the first chunks; 48 if every few of them had a best
+    one = retrieval.bm25(words, chunks, 3).select("query_id", "chunk_id", "score", "rank").collect()
+    many = retrieval.bm25(words, chunks, 3, block=1).select("query_id", "chunk_id", "score", "rank").collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
