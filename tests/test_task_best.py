@@ -62,3 +62,47 @@ def test_fuzzy_union_in_tasks(spark, talk):
     assert "Join" not in plan(out)
     assert sorted(map(tuple, out.collect())) == want and {r[3] for r in want} >= {"trigram", "fulltext,like,trigram", "like"}
     assert sorted(map(tuple, I.fuzzy_union(queries, chunks, k=7, block=3).collect())) == want
+
+
+def test_keyword_ranks_in_tasks(spark, talk):
+    from rookery.operators import retrieval as R
+
+    _, chunks = talk
+    words = [("q1", "the"), ("q1", "contract"), ("q1", "été"), ("q2", "of"), ("q2", "zzz"), ("q3", "zzz")]
+    out = R.keyword_count_rank(spark.createDataFrame(words, "query_id string, keyword string"), chunks, 9)
+    assert "Join" not in plan(out)
+    texts = {r.chunk_id: r.content for r in chunks.collect() if r.content}
+    want = set()
+    for q in ("q1", "q2"):
+        hits = [(sum(w in t.lower().split() for x, w in words if x == q), len(t), c) for c, t in texts.items()]
+        hits = sorted((h for h in hits if h[0]), key=lambda h: (-h[0], -h[1], h[2]))[:9]
+        want |= {(q, c, m, n, i) for i, (m, n, c) in enumerate(hits, 1)}
+    assert {(r.query_id, r.chunk_id, r.matched, r.length, r["rank"]) for r in out.collect()} == want and len(want) == 18
+
+
+def test_matched_kinds_and_counts(spark, talk):
+    _, chunks = talk
+    asked = spark.createDataFrame([("q1", ["the", "of"]), ("q2", ["contract", "b1", "renewal"]), ("none", [])], "query_id string, items array<string>")
+    kinds = B.in_order(chunks.where("content IS NOT NULL")).select("chunk_id", I.words_of(F.col("content")).alias("words"), F.right("chunk_id", F.lit(1)).alias("kind"), F.lit(0).cast("long").alias("carried"))
+    rows = {r.chunk_id: (set(r.words), r.kind) for r in kinds.collect()}
+    hits = {(q, kind, c, len(set(items) & own)) for q, items in (r for r in asked.collect()) for c, (own, kind) in rows.items() if set(items) & own}
+    want = set()
+    for q, kind in {h[:2] for h in hits}:
+        want |= set(sorted((h for h in hits if h[:2] == (q, kind)), key=lambda h: (-h[3], h[2]))[:2])
+    for block in (100, 1):
+        found = B.best_matched(asked, kinds, 2, block=block)
+        cut = I.top_k(found, 2, ["query_id", "kind"], [F.desc("matched"), F.col("chunk_id")]).collect()
+        assert {(r.query_id, r.kind, r.chunk_id, r.matched) for r in cut} == want
+        counts = {r.query_id: (r.found, r.kept) for r in B.matched_counts(asked, kinds, 0.5, block=block).collect()}
+        assert counts == {q: (sum(h[0] == q for h in hits), sum(h[0] == q and h[3] * 2 >= n for h in hits)) for q, n in (("q1", 2), ("q2", 3))}
+
+
+def test_first_chunks_of_a_pattern(spark):
+    rows = [(f"{i:04}", "alpha beta" if i % 2 else "Alpha") for i in range(2000)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string").repartition(4)
+    patterns = spark.createDataFrame([("alpha",), ("beta",), ("zzz",)], "pattern string")
+    hits = I.substring_hits(patterns, chunks, first=3)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert hits.count() <= 2 * 3 * tasks
+    got = I.top_k(hits, 3, ["pattern"], [F.col("chunk_id")])
+    assert {(r.pattern, r.chunk_id) for r in got.collect()} == {("alpha", "0000"), ("alpha", "0001"), ("alpha", "0002"), ("beta", "0001"), ("beta", "0003"), ("beta", "0005")}
