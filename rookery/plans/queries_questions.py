@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import questions as Q
 from ..operators import retrieval as R
+from ..operators.best import best_matched, in_order, matched_counts
 from .queries_corpus import CHUNKS, chunks_of
 from .registry import query
 
@@ -102,15 +103,21 @@ TIERS = r"""qw AS (SELECT CAST(item_id AS VARCHAR) AS query_id, list_distinct(li
  tier AS (SELECT query_id, chunk_id, matched, CASE WHEN matched = words THEN 4.0 WHEN matched * 2 >= words THEN 3.5 ELSE 3.0 END AS score FROM m)"""
 
 
-def tiers(d):
-    """Chunks by whether they hold all, half or any of a question's words, through one join on words."""
-    word = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 2)
-    asked = d.benchmark.select(F.col("item_id").cast("string").alias("query_id"), F.array_distinct(word("text")).alias("w"))
-    asked = asked.select("query_id", F.size("w").alias("words"), F.explode("w").alias("word"))
-    held = chunks_of(d).select("chunk_id", F.explode(F.array_distinct(word("content"))).alias("word"))
-    per = asked.join(held, "word").groupBy("query_id", "chunk_id", "words").agg(F.count(F.lit(1)).alias("matched"))
-    score = F.when(F.col("matched") == F.col("words"), 4.0).when(F.col("matched") * 2 >= F.col("words"), 3.5).otherwise(3.0)
-    return per.select("query_id", "chunk_id", "matched", score.alias("score"))
+def words(text):
+    """Distinct words of two letters or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 2))
+
+
+def asked_words(d):
+    return d.benchmark.select(F.col("item_id").cast("string").alias("query_id"), words(F.col("text")).alias("items"))
+
+
+def tiers(d, chunks, k):
+    """Of each question and kind the k best chunks (chunk_id, content, kind), by whether they hold all, half or any of its words."""
+    texts = in_order(chunks).select("chunk_id", words(F.col("content")).alias("words"), "kind", F.lit(0).cast("long").alias("carried"))
+    best = best_matched(asked_words(d), texts, k)
+    score = F.when(F.col("matched") == F.col("size"), 4.0).when(F.col("matched") * 2 >= F.col("size"), 3.5).otherwise(3.0)
+    return best.select("query_id", "chunk_id", "kind", "matched", score.alias("score"))
 
 
 @query(
@@ -118,7 +125,8 @@ def tiers(d):
     CHUNKS + ", " + TIERS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, matched DESC, chunk_id) AS rank FROM tier) SELECT query_id, chunk_id, matched, CAST(score AS DOUBLE) AS score, rank FROM r WHERE rank <= 10",
 )
 def tiered_search(d):
-    return R.top_k(tiers(d), 10, order=[F.desc("score"), F.desc("matched"), F.col("chunk_id")])
+    rows = tiers(d, chunks_of(d).select("chunk_id", "content", F.lit("").alias("kind")), 10).drop("kind")
+    return R.top_k(rows, 10, order=[F.desc("score"), F.desc("matched"), F.col("chunk_id")])
 
 
 @query(
@@ -130,8 +138,8 @@ def tiered_search(d):
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY score DESC, matched DESC, chunk_id) AS rank FROM ty) SELECT query_id, chunk_id, type, rank FROM r WHERE rank <= 3""",
 )
 def balanced_search(d):
-    types = chunks_of(d).select("chunk_id", F.col("doc_id").cast("string").alias("id")).join(d.document_sources.select("id", "type"), "id").drop("id")
-    rows = tiers(d).join(types, "chunk_id")
+    types = d.document_sources.select(F.col("id").cast("long").alias("doc_id"), F.col("type").alias("kind"))
+    rows = tiers(d, chunks_of(d).join(types, "doc_id").select("chunk_id", "content", "kind"), 3).withColumnRenamed("kind", "type")
     return R.top_k(rows, 3, by=["query_id", "type"], order=[F.desc("score"), F.desc("matched"), F.col("chunk_id")]).select("query_id", "chunk_id", "type", "rank")
 
 
@@ -140,8 +148,8 @@ def balanced_search(d):
     CHUNKS + ", " + TIERS + " SELECT query_id, count(*) AS found, count(*) FILTER (score >= 3.5) AS kept, round(CAST(count(*) FILTER (score >= 3.5) AS DOUBLE) / count(*), 6) AS rate FROM tier GROUP BY 1",
 )
 def hit_statistics(d):
-    kept = F.sum((F.col("score") >= 3.5).cast("long"))
-    return tiers(d).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), kept.alias("kept"), F.round(kept / F.count(F.lit(1)), 6).alias("rate"))
+    counts = matched_counts(asked_words(d), chunks_of(d).select(words(F.col("content")).alias("words")), 0.5)
+    return counts.select("query_id", "found", "kept", F.round(F.col("kept") / F.col("found"), 6).alias("rate"))
 
 
 @query(
