@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .best import in_order, written
 from .corpus import profile_columns
-from .retrieval import dot, top_k, vector_pairs, vector_topk
+from .retrieval import best_within, vector_pairs, vector_topk
 
 #: Synonyms that expand a query, and words added by kind of context.
 SYNONYMS = {"error": ["failure", "fault"], "price": ["cost", "fee"], "the": ["this"], "with": ["by"]}
@@ -198,6 +199,7 @@ def merge_answers(parts: DataFrame) -> DataFrame:
 
 
 def ranked_dot(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Top k by dot product within the tenant of each query: an equality join by company."""
-    rows = queries.select("query_id", "company_id", F.col("embedding").alias("q")).join(chunks.select("chunk_id", "company_id", "embedding"), "company_id")
-    return top_k(rows.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("embedding")), 5).alias("score")), k)
+    """Top k by dot product within the tenant of each query; tasks keep the best of each query."""
+    asked = queries.select("query_id", F.col("embedding").alias("unit"), F.array_compact(F.array("company_id")).alias("groups")).where("embedding IS NOT NULL")
+    vectors = in_order(chunks.select("chunk_id", "company_id", "embedding"))
+    return best_within(written(asked, "tenant-queries"), vectors.withColumnsRenamed({"company_id": "group", "embedding": "v"}), k)

@@ -106,3 +106,23 @@ def test_first_chunks_of_a_pattern(spark):
     assert hits.count() <= 2 * 3 * tasks
     got = I.top_k(hits, 3, ["pattern"], [F.col("chunk_id")])
     assert {(r.pattern, r.chunk_id) for r in got.collect()} == {("alpha", "0000"), ("alpha", "0001"), ("alpha", "0002"), ("beta", "0001"), ("beta", "0003"), ("beta", "0005")}
+
+
+def test_vectors_of_a_group_in_tasks(spark):
+    from rookery.operators import refine, retrieval
+
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(300, 8)), 1)
+    rows = [(f"{i:03}", None if i % 50 == 7 else str(i % 4), [float(x) for x in vectors[i % 150]]) for i in range(300)] + [("null", "1", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, company_id string, embedding array<double>").repartition(5)
+    asked = chunks.where("chunk_id < '040' OR chunk_id = 'null'").withColumnRenamed("chunk_id", "query_id")
+    want = set()
+    for q, own, a in rows[:40]:
+        hits = sorted(((round(float(np.dot(a, b)), 5), c) for c, company, b in rows if company is not None and company == own and b), key=lambda h: (-h[0], h[1]))[:5]
+        want |= {(q, c, s, i) for i, (s, c) in enumerate(hits, 1)}
+    out = refine.ranked_dot(asked, chunks, 5)
+    assert "Join" not in plan(out)
+    assert {tuple(r) for r in out.collect()} == want
+    some = asked.where("company_id IS NOT NULL AND embedding IS NOT NULL").select("query_id", F.col("embedding").alias("unit"), F.array("company_id").alias("groups"))
+    blocks = retrieval.best_within(some, B.in_order(chunks).withColumnsRenamed({"company_id": "group", "embedding": "v"}), 5, block=7)
+    assert {tuple(r) for r in blocks.collect()} == want
