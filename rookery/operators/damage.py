@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,22 +30,34 @@ PAGE_RUNS = [
     r"\d+\(\)\[",
 ]
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
-SCRIPT = r"[A-Za-z\x{C0}-\x{24F}\x{3040}-\x{30FF}\x{4E00}-\x{9FAF}]"
+SCRIPT = r"A-Za-z\x{C0}-\x{24F}\x{3040}-\x{30FF}\x{4E00}-\x{9FAF}"
 
 
 def _share(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.char_length(text), F.lit(1))
 
 
+def _inside(text: Column, chars: str) -> Column:
+    """The share of characters of a class, from what is left without the runs of others: no match is kept."""
+    return F.char_length(F.regexp_replace(text, f"[^{chars}]+", "")) / F.greatest(F.char_length(text), F.lit(1))
+
+
 def _often(text: Column, part: str) -> Column:
     return (F.char_length(text) - F.char_length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
 
 
+def _single(text: Column, char: str) -> Column:
+    return _often(text, char) / F.greatest(F.char_length(text), F.lit(1))
+
+
 def commonest_share(text: Column) -> Column:
-    """Share of the most frequent character."""
-    chars = F.array_distinct(F.split(text, ""))
-    counts = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.char_length(text) - F.char_length(F.replace(text, c, F.lit(""))))
-    return F.array_max(counts) / F.greatest(F.char_length(text), F.lit(1))
+    """Share of the most frequent character; one walk over the text, however many characters differ."""
+
+    @F.udf("long", useArrow=False)
+    def most(t: str | None) -> int | None:
+        return None if not t else max(Counter(t).values())
+
+    return most(text) / F.greatest(F.char_length(text), F.lit(1))
 
 
 def damaged_document(text: Column) -> Column:
@@ -54,9 +68,9 @@ def damaged_document(text: Column) -> Column:
     signs = [
         replaced,
         (n < 50) & ~text.rlike(r"[\p{L}\p{N}]"),
-        _share(text, SCRIPT) < 0.05,
-        _share(text, r"\n") > 0.6,
-        _share(text, " ") > 0.8,
+        _inside(text, SCRIPT) < 0.05,
+        _single(text, "\n") > 0.6,
+        _single(text, " ") > 0.8,
         _share(text, CONTROL) > 0.1,
         beyond > 0.05,
         _often(text, REPLACED) > 10,
@@ -85,7 +99,7 @@ def damaged_page(text: Column) -> Column:
 def damaged_image_text(text: Column) -> Column:
     """No text, a replacement character, short without letters, hardly any letters, or mostly line breaks."""
     short = (F.char_length(F.trim(text)) < 50) & ~text.rlike(r"[\p{L}\p{N}]")
-    return (F.trim(text) == "") | text.contains(REPLACED) | short | (_share(text, r"\p{L}") < 0.1) | (_share(text, r"\n") > 0.5)
+    return (F.trim(text) == "") | text.contains(REPLACED) | short | (_inside(text, r"\p{L}") < 0.1) | (_single(text, "\n") > 0.5)
 
 
 def named_sections(text: Column) -> Column:

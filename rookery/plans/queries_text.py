@@ -35,8 +35,9 @@ def damaged_texts(d):
  trim(t) = '' OR replaced OR (length(trim(t)) < 50 AND NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]')) OR letters < 0.1 OR breaks > 0.5 AS image FROM s""",
 )
 def damaged(d):
-    t = F.col("t")
-    return damaged_texts(d).select("doc_id", D.damaged_document(t).alias("document"), D.damaged_table(t).alias("in_table"), D.damaged_page(t).alias("page"), D.damaged_image_text(t).alias("image"))
+    t, rows, few = F.col("t"), damaged_texts(d), d.spark.sparkContext.defaultParallelism
+    rows = rows.repartition(4 * few) if len(d.documents.inputFiles()) < few else rows
+    return rows.select("doc_id", D.damaged_document(t).alias("document"), D.damaged_table(t).alias("in_table"), D.damaged_page(t).alias("page"), D.damaged_image_text(t).alias("image"))
 
 
 @query(

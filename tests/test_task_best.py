@@ -126,3 +126,12 @@ def test_vectors_of_a_group_in_tasks(spark):
     some = asked.where("company_id IS NOT NULL AND embedding IS NOT NULL").select("query_id", F.col("embedding").alias("unit"), F.array("company_id").alias("groups"))
     blocks = retrieval.best_within(some, B.in_order(chunks).withColumnsRenamed({"company_id": "group", "embedding": "v"}), 5, block=7)
     assert {tuple(r) for r in blocks.collect()} == want
+
+
+def test_commonest_character_in_one_walk(spark):
+    from rookery.operators import damage
+
+    texts = ["", "aab", "".join(chr(0x4E00 + i) for i in range(20_000)) * 2 + "一", "😀😀x"]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", damage.commonest_share(F.col("t")).alias("share"))
+    assert "array_distinct" not in plan(out)  # no search of the text for each of its characters
+    assert {r.t: r.share for r in out.collect()} == {texts[0]: None, texts[1]: 2 / 3, texts[2]: 3 / 40_001, texts[3]: 2 / 3}
