@@ -135,3 +135,15 @@ def test_commonest_character_in_one_walk(spark):
     out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", damage.commonest_share(F.col("t")).alias("share"))
     assert "array_distinct" not in plan(out)  # no search of the text for each of its characters
     assert {r.t: r.share for r in out.collect()} == {texts[0]: None, texts[1]: 2 / 3, texts[2]: 3 / 40_001, texts[3]: 2 / 3}
+
+
+def test_lists_are_searched_in_tasks(spark):
+    """With all lists probed the search is exact, and nothing is joined."""
+    from rookery.operators import retrieval
+    from rookery.plans.views import Domain
+
+    vectors = Domain(spark, "/root/testdata/sf0.001").chunk_vectors
+    asked = vectors.select(F.col("chunk_id").alias("query_id"), "embedding").where("CAST(chunk_id AS INT) < 40")
+    out = retrieval.ann_topk(asked, vectors, 5, lists=4, probes=4)
+    assert "Join" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, retrieval.vector_topk(asked, vectors, 5).collect()))
