@@ -51,3 +51,12 @@ def test_bm25_tasks_keep_their_best(spark):
     one = retrieval.bm25(words, chunks, 3).select("query_id", "chunk_id", "score", "rank").collect()
     many = retrieval.bm25(words, chunks, 3, block=1).select("query_id", "chunk_id", "score", "rank").collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+
+
+def test_bm25_blocks_are_no_column(spark):
+    """However many blocks there are, the columns are those of one."""
+    chunks = spark.createDataFrame([(f"{i:04}", "alpha beta" + " x" * i) for i in range(50)], "chunk_id string, content string")
+    words = spark.createDataFrame([("q1", "alpha"), ("q2", "alpha"), ("q2", "beta")], "query_id string, keyword string")
+    one, many = retrieval.bm25(words, chunks, 3), retrieval.bm25(words, chunks, 3, block=1)
+    assert many.columns == one.columns == ["query_id", "chunk_id", "score", "rank"]
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
