@@ -147,3 +147,39 @@ def test_lists_are_searched_in_tasks(spark):
     out = retrieval.ann_topk(asked, vectors, 5, lists=4, probes=4)
     assert "Join" not in plan(out)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, retrieval.vector_topk(asked, vectors, 5).collect()))
+
+
+def test_fields_are_scored_in_tasks(spark, talk, monkeypatch):
+    """Nothing is written or shuffled that grows with the chunks, and neither limits of tasks nor blocks change a row."""
+    queries, chunks = talk
+    chunks = chunks.withColumn("name", F.concat(F.lit("Renewal "), F.right("chunk_id", F.lit(1))))
+    rows, put = {}, I.written
+
+    def counted(df, name):
+        out = put(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(I, "written", counted)
+    out = I.ngram_multi_field(queries, chunks, k=7)
+    columns, want = out.columns, sorted(map(tuple, out.collect()))
+    once = dict(rows)
+    more = I.ngram_multi_field(queries, chunks.unionByName(chunks.withColumn("chunk_id", F.concat("chunk_id", F.lit("+")))), k=7)
+    assert more.count() == len(want) > 100 and rows == once
+    monkeypatch.setattr(I, "KNOWN", 3)
+    monkeypatch.setattr(I, "NEAR", 0)
+    many = I.ngram_multi_field(queries, chunks, k=7, block=60)
+    assert many.columns == columns == ["query_id", "chunk_id", "score", "field", "rank"]
+    assert sorted(map(tuple, many.collect())) == want
+
+
+def test_grams_and_shapes_of_words(spark):
+    from collections import Counter
+
+    words = ["a", "ab", "été", "vertrag", "契約更新", "x1", "😀"]
+    (grams,) = spark.createDataFrame([(" ".join(words),)], "t string").select(I.word_grams(F.col("t"))).first()
+    assert Counter(map(I.gram_of, I.gram_codes(" ".join(words[:-1])).tolist())) == Counter(grams)
+    assert all(I.gram_of(I.gram_code(g)) == g for g in grams)
+    near = I.Near([("contract", 2), ("the", 1), ("of", 0)])
+    assert near.among(["contract", "kontrakt", "ontrac", "contractors", "tho", "te", "off", "of", "fo", "zzz"]).tolist() == [True, True, True, False, True, True, False, True, True, False]
+    assert near.among([]).tolist() == []
