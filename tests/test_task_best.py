@@ -183,3 +183,34 @@ def test_grams_and_shapes_of_words(spark):
     near = I.Near([("contract", 2), ("the", 1), ("of", 0)])
     assert near.among(["contract", "kontrakt", "ontrac", "contractors", "tho", "te", "off", "of", "fo", "zzz"]).tolist() == [True, True, True, False, True, True, False, True, True, False]
     assert near.among([]).tolist() == []
+
+
+def test_best_takes_single_hits_in_any_order():
+    rng = np.random.default_rng(2)
+    scores = rng.integers(-3, 4, (60, 5))
+    whole, single = B.Best(5, 4), B.Best(5, 4)
+    names = np.array([f"{i:02}" for i in range(60)], object)
+    whole.add(list(names), scores)
+    place = single.places(60)
+    for some in np.array_split(rng.permutation(300), 9):
+        single.put(some % 5, (scores.ravel()[some] * B.SPAN + place[some // 5]), names[some // 5])
+    rows = lambda best: {tuple(r) for part in best.rows(list("abcde")) for r in zip(part[0].to_pylist(), part[1].to_pylist(), part[2].tolist(), strict=True)}
+    assert rows(single) == rows(whole) and len(rows(whole)) == 20
+
+
+def test_tiles_of_vectors_change_no_hit(spark, monkeypatch):
+    """Copies, vectors of no length and missing ones, in tiles of any size; a task reads no vector as Python objects."""
+    from rookery.operators import retrieval
+
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(40, 6)), 1)
+    rows = [(f"{i:03}", [0.0] * 6 if i == 5 else [float(x) for x in vectors[i % 40 if i < 200 else 7]]) for i in range(400)] + [("null", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(5)
+    asked = chunks.where("chunk_id < '060' OR chunk_id = 'null'").withColumnRenamed("chunk_id", "query_id")
+    want = sorted(map(tuple, retrieval.vector_topk(asked.where("embedding IS NOT NULL"), chunks, 5).collect()))
+    assert len(want) == 300
+    monkeypatch.setattr(retrieval, "slices", None, raising=False)
+    for sizes in ((4_096, 512, 512), (50, 3, 7)):
+        for name, size in zip(("VECTORS", "TILE", "QUERY_BLOCK"), sizes, strict=True):
+            monkeypatch.setattr(retrieval, name, size)
+        assert sorted(map(tuple, retrieval.ann_topk(asked, chunks, 5, lists=3, probes=3).collect())) == want
