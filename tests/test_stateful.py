@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,48 @@ def test_old_snapshots_go(spark, tmp_path):
     for n in range(4):
         table.merge(chat.where(F.pmod(F.xxhash64("id"), F.lit(4)) == n), n)
     assert table._snapshots() == [2, 3]
+
+
+def test_keys_of_a_bucket_share_calls_to_the_state_store(spark, tmp_path):
+    class Handle:
+        def __init__(self):
+            self.value, self.calls, self.timers = None, 0, set()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def registerTimer(self, at):  # noqa: N802
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.calls += 1
+            self.timers.remove(at)
+
+    handle, cache = Handle(), stateful.ExpiringCache(1_000)
+    cache.init(handle)
+    keys = [f"k{i}" for i in range(500)]
+    for trigger in range(3):
+        some = pd.DataFrame({"cache_key": keys, "id": [f"{k}-{trigger}" for k in keys], "at": [trigger * 2_000_000 + i for i in range(500)]})
+        out = pd.concat([pd.DataFrame(columns=["cache_key", "id"]), *cache.handleInputRows((0,), iter([some[:200], some[200:]]), None)])
+        assert sorted(out["id"]) == sorted(f"{k}-{trigger - 1}" for k in keys if trigger)
+    assert handle.calls <= 12 and len(handle.timers) == 1
+    rows = [(f"k{i % 40}", f"e{i}", START + timedelta(minutes=37 * i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "cache_key string, id string, timestamp timestamp")
+    jobs.write_by_day(df, f"{tmp_path}/in", 25)
+    want = [f"e{i}" for i, (k, _, t) in enumerate(rows) if (rows[i + 40][2] if i + 40 < 200 else rows[-1][2]) > t + timedelta(hours=6)]
+    for buckets in (1, 7):
+        stream = jobs.read_stream(spark, f"{tmp_path}/in", df.schema, 1)
+        out = stateful.run_state(stateful.expired_stream(stream, 6, buckets), f"{tmp_path}/out{buckets}", f"{tmp_path}/check{buckets}")
+        assert sorted(r.id for r in out.collect()) == sorted(want)
