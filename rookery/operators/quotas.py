@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .retrieval import top_k
-from .textindex import QUERIES, ROWS, Demands, Finder, bits_of, few_at_once, in_blocks, mask_of, substring_hits, written
+from .textindex import PATTERNS, ROWS, Finder, each, in_blocks, substring_hits, written
 
 #: Kinds of documents, in the order in which they get places that are left over.
 TYPES = ["pdf", "excel", "word", "text"]
+#: Chunks that a task takes at once in the beginning.
+FEWEST = 4
 
 
 def tiered_matches(queries: DataFrame, chunks: DataFrame, whole: float, every: float, some: float) -> DataFrame:
@@ -38,60 +40,122 @@ def tiered_matches(queries: DataFrame, chunks: DataFrame, whole: float, every: f
     return rows.select("query_id", "chunk_id", score.cast("double").alias("score"))
 
 
-def tiered_best(queries: DataFrame, chunks: DataFrame, whole: float, every: float, some: float, k: int, block: int = QUERIES) -> DataFrame:
+def tiered_best(queries: DataFrame, chunks: DataFrame, whole: float, every: float, some: float, k: int, block: int = PATTERNS) -> DataFrame:
     """query_id, chunk_id, type, score: rows of `tiered_matches`, with all of the k best of each query and type (ties by chunk) among them.
 
-    Chunks have a `type`. A task takes its chunks in order of their names and leaves out hits of a query that
-    has k of the type as good already, so that a word of every chunk makes few rows.
+    Chunks have a `type`. A task takes its chunks by type in order of their names and leaves out hits of a query
+    that has k of the type as good already, so that a word of every chunk makes few rows.
     """
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.lower("text").alias("text"))
     words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: F.char_length(w) > 1))
     asked = written(asked.select("query_id", "text", words.alias("words")).where(F.size("words") > 0), "tier-queries")
     texts = chunks.select("chunk_id", F.lower("content").alias("low"), "type").where("content IS NOT NULL")
-    texts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("chunk_id")
+    texts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("type", "chunk_id")
     return reduce(DataFrame.union, [_tier_block(rows, texts, [some, every, whole], k) for rows in in_blocks(asked, "query_id", block)])
 
 
+class Tiers:
+    """The level at which chunks meet queries, 0 for any word, 1 for every word, 2 for the text itself, of k hits a query and level.
+
+    Queries that still want chunks with any word are held against each; those that want chunks with every word
+    are met by their rarest word so far, and texts are found as they are.
+    """
+
+    def __init__(self, rows: list[tuple[list[str], str]]) -> None:
+        strings = {x: i for i, x in enumerate(dict.fromkeys(x for words, text in rows for x in (*words, text)))}
+        self.finder = Finder(strings)
+        self.queries = len(rows)
+        most = max((len(words) for words, _ in rows), default=1)
+        #: each query's words, the last one again where there are fewer
+        self.words = np.array([[strings[w] for w in words] + [strings[words[-1]]] * (most - len(words)) for words, _ in rows], np.int64).reshape(len(rows), most)
+        self.whole = np.array([strings[text] for _, text in rows], np.int64)
+        self.by_whole = self.by(self.whole, np.arange(len(rows)))
+
+    def by(self, strings: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries by a string of each: where they begin, how many there are, and their numbers."""
+        many = np.bincount(strings, minlength=len(self.finder.strings))
+        return np.cumsum(many) - many, many, queries[np.argsort(strings, kind="stable")]
+
+    def start(self, k: int) -> None:
+        """From here on hits are counted anew."""
+        self.k, self.seen, self.looked = k, 0, 0
+        self.counts = np.zeros((3, self.queries), np.int64)
+        self.hits = np.zeros(len(self.finder.strings), np.int64)
+
+    def at_once(self) -> int:
+        """Chunks to be met next: few at first, when every query wants hits of any kind."""
+        return min(self.finder.at_once(), max(FEWEST, self.seen))
+
+    def met(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of texts and queries, in order, and the levels of hits that the queries still want."""
+        marks = self.finder.marks(texts)
+        self.hits += marks.sum(axis=0)
+        wants = self.counts < self.k
+        if self.seen >= 2 * self.looked:  # after twice as many chunks other words may be the rarest, and fewer queries are left
+            left = np.flatnonzero(wants[1])
+            own = self.words[left]
+            rarest = own[np.arange(len(left)), self.hits[own].argmin(axis=1)]
+            self.by_rarest, self.looked = self.by(rarest, left), max(self.seen, 1)
+        self.seen += len(texts)
+        keys, levels = [], []
+
+        def put(text: np.ndarray, query: np.ndarray, level: int) -> None:
+            keys.append(text * self.queries + query)
+            levels.append(np.full(len(text), level))
+
+        left = np.flatnonzero(wants[0])
+        if len(left):
+            some = np.zeros((len(texts), len(left)), bool)
+            for own in self.words[left].T:
+                some |= marks[:, own]
+            text, at = np.nonzero(some)
+            put(text, left[at], 0)
+        for level, (start, many, queries) in ((1, self.by_rarest), (2, self.by_whole)):
+            asked = np.flatnonzero(many)
+            text, at = np.nonzero(marks[:, asked])
+            string = asked[at]
+            text, query = np.repeat(text, many[string]), queries[each(start[string], many[string])]
+            good = wants[level, query]
+            text, query = text[good], query[good]
+            for own in self.words.T if level == 1 else ():
+                good = marks[text, own[query]]
+                text, query = text[good], query[good]
+            put(text, query, level)
+        key, level = np.concatenate(keys), np.concatenate(levels)
+        order = np.lexsort((-level, key))
+        key, level = key[order], level[order]
+        best = np.append(True, key[1:] != key[:-1])[: len(key)]
+        key, level = key[best], level[best]
+        text, query = key // self.queries, key % self.queries
+        for i in range(3):
+            self.counts[i] += np.bincount(query[level >= i], minlength=self.queries)
+        return text, query, level
+
+
 def _tier_block(rows: list, texts: DataFrame, scores: list[float], k: int) -> DataFrame:
-    demands = Demands((q, i, w) for q, r in enumerate(rows) for i, w in enumerate(r["words"]))
-    texts_asked: dict[str, list[int]] = {}
-    for q, r in enumerate(rows):
-        texts_asked.setdefault(r["text"], []).append(q)
-    wholes = {t: mask_of(np.array(own)) for t, own in texts_asked.items()}
-    shared = texts.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], demands, wholes, Finder(demands.words | set(wholes))))
+    shared = texts.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in rows], pa.string()), Tiers([(r["words"], r["text"]) for r in rows])))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, demands, wholes, finder = shared.value
-        known: dict[str, tuple[np.ndarray, list[int]]] = {}
-        names_array = pa.array(names, pa.string())
-        out: list[tuple] = []
-        rows = 0
-
-        def batch() -> pa.RecordBatch:
-            sizes = [len(q) for q, *_ in out]
-            each = pa.array(np.repeat(np.arange(len(out)), sizes))
-            columns = [pa.array([x[i] for x in out], t).take(each) for i, t in ((1, pa.string()), (2, pa.string()), (3, pa.float64()))]
-            return pa.RecordBatch.from_arrays([names_array.take(pa.array(np.concatenate([x[0] for x in out]))), *columns], ["query_id", "chunk_id", "type", "score"])
-
-        for chunk, low, kind in few_at_once(batches):
-            # how many hits of a level or better each query has of the type, and the queries that have enough
-            counts, full = known.setdefault(kind, (np.zeros((3, len(names)), np.int32), [0, 0, 0]))
-            held = finder.held(low)
-            every, some = demands.met(held)
-            whole = some & reduce(int.__or__, (wholes[t] for t in held if t in wholes), 0)
-            for level, own in ((2, whole), (1, every & ~whole), (0, some & ~every & ~whole)):
-                if new := own & ~full[level]:
-                    hits = bits_of(new)
-                    out.append((hits, chunk, kind, float(scores[level])))
-                    rows += len(hits)
-                    for lower in range(level + 1):
-                        counts[lower, hits] += 1
-                        full[lower] |= mask_of(hits[counts[lower, hits] >= k])
-            if rows >= ROWS:
-                yield batch()
-                out, rows = [], 0
-        if out:
-            yield batch()
+        names, tiers = shared.value
+        before: list = []  # the type of the chunks before
+        for b in batches:
+            at = 0
+            while at < b.num_rows and tiers.queries:
+                kind = b.column(2)[at].as_py()
+                if before != [kind]:
+                    before = [kind]
+                    tiers.start(k)
+                same = 0
+                some = b.slice(at, tiers.at_once())
+                kinds = some.column(2).to_pylist()
+                while same < len(kinds) and kinds[same] == kind:
+                    same += 1
+                some = some.slice(0, same)
+                at += same
+                text, query, level = tiers.met(some.column(1).to_pylist())
+                for i in range(0, len(text), ROWS):
+                    t, q, v = text[i : i + ROWS], query[i : i + ROWS], np.array(scores, float)[level[i : i + ROWS]]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), some.column(0).take(pa.array(t)), some.column(2).take(pa.array(t)), pa.array(v)], ["query_id", "chunk_id", "type", "score"])
 
     return texts.mapInArrow(find, "query_id string, chunk_id string, type string, score double")
 
