@@ -81,6 +81,7 @@ class Tiers:
         self.k, self.seen, self.looked = k, 0, 0
         self.counts = np.zeros((3, self.queries), np.int64)
         self.hits = np.zeros(len(self.finder.strings), np.int64)
+        self.marks = np.zeros((self.finder.at_once(), len(self.finder.strings)), bool)
 
     def at_once(self) -> int:
         """Chunks to be met next: few at first, when every query wants hits of any kind."""
@@ -88,8 +89,10 @@ class Tiers:
 
     def met(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of texts and queries, in order, and the levels of hits that the queries still want."""
-        marks = self.finder.marks(texts)
-        self.hits += marks.sum(axis=0)
+        pairs, marks = self.finder.pairs(texts), self.marks
+        marks.ravel()[pairs] = True
+        held, string = np.divmod(pairs, max(1, len(self.hits)))
+        self.hits += np.bincount(string, minlength=len(self.hits))
         wants = self.counts < self.k
         if self.seen >= 2 * self.looked:  # after twice as many chunks other words may be the rarest, and fewer queries are left
             left = np.flatnonzero(wants[1])
@@ -107,20 +110,18 @@ class Tiers:
         if len(left):
             some = np.zeros((len(texts), len(left)), bool)
             for own in self.words[left].T:
-                some |= marks[:, own]
+                some |= marks[: len(texts), own]
             text, at = np.nonzero(some)
             put(text, left[at], 0)
         for level, (start, many, queries) in ((1, self.by_rarest), (2, self.by_whole)):
-            asked = np.flatnonzero(many)
-            text, at = np.nonzero(marks[:, asked])
-            string = asked[at]
-            text, query = np.repeat(text, many[string]), queries[each(start[string], many[string])]
+            text, query = np.repeat(held, many[string]), queries[each(start[string], many[string])]
             good = wants[level, query]
             text, query = text[good], query[good]
             for own in self.words.T if level == 1 else ():
                 good = marks[text, own[query]]
                 text, query = text[good], query[good]
             put(text, query, level)
+        marks.ravel()[pairs] = False
         key, level = np.concatenate(keys), np.concatenate(levels)
         order = np.lexsort((-level, key))
         key, level = key[order], level[order]
